@@ -1,7 +1,7 @@
 """Every query of this subpackage, with its SQL where SQL can express it."""
 
-from brackenspan.llm import bpe, token_counts
+from brackenspan.llm import ann, bpe, mixing, ogg, sharding, token_counts
 
-_ALL = (bpe, token_counts)
+_ALL = (bpe, sharding, token_counts, ogg, ann, mixing)
 QUERIES = {name: query for m in _ALL for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _ALL for name, sql in m.ORACLES.items()}
