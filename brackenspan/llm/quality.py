@@ -111,6 +111,23 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"))
 
 
+def drop_poor(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    """``docs``, all columns, without the rows whose score is under ``threshold``; a null text counts as empty."""
+    weights, bias = model
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        raw = []
+        for text in part[text_col].to_pylist():
+            index, value = vector(text or "", bits)
+            raw.append(float(weights[index] @ value) + bias)
+        if len(_hashes) > 500_000:
+            _hashes.clear()
+        keep = 1 / (1 + np.exp(-np.clip(np.array(raw, dtype=float), -30, 30))) >= threshold
+        return part.filter(pa.array(keep))
+
+    return docs.mapInArrow(per_slice(run, 256), docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.ndarray, float]:
     return fit(labelled_sample(docs, labels, "quality", rows))
 

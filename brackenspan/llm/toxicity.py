@@ -240,6 +240,18 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, Boosted], id_col: str
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: tuple[Lexicon, Boosted], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without the rows whose score is at or over ``threshold``; a null text counts as empty."""
+    lexicon, trees = model
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(t or "", lexicon) for t in part[text_col].to_pylist()]).reshape(-1, len(FIELDS))
+        keep = np.clip(trees.score(x), 0.0, 1.0) < threshold
+        return part.filter(pa.array(keep))
+
+    return docs.mapInArrow(per_slice(run, 256), docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[Lexicon, Boosted]:
     return fit(labelled_sample(docs, labels, "toxic", rows))
 
