@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is a seed list plus what labelled rows teach: words and word beginnings whose documents are
-mostly toxic. It is counted on one fold of the labelled sample, the trees are grown on a second and
-calibrated on a third; folds go by how a text begins, so near copies don't sit in two of them.
+mostly toxic. The sample has two folds, by how a text begins, so near copies don't sit in both. Trees grow on
+features made with the other fold's lexicon, and are calibrated on scores of trees grown on the other
+fold; the lexicon that is kept comes from both.
 """
 
 from __future__ import annotations
@@ -169,56 +170,64 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_counts(batches):
-    schema = pa.schema([("gram", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    toxic, clean = Counter(), Counter()
+    """In how many toxic and clean texts of each fold a gram is, among those of a partition."""
+    names = ("toxic0", "clean0", "toxic1", "clean1")
+    schema = pa.schema([("gram", pa.string()), *((n, pa.int64()) for n in names)])
+    counts = [Counter() for _ in names]
 
     def flush():
-        keys = list(toxic.keys() | clean.keys())
+        keys = list(set().union(*counts))
         for at in range(0, len(keys), 50_000):
             some = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"gram": some, "toxic": [toxic[k] for k in some], "clean": [clean[k] for k in some]}, schema)
-        toxic.clear()
-        clean.clear()
+            yield pa.RecordBatch.from_pydict({"gram": some} | {n: [c[k] for k in some] for n, c in zip(names, counts, strict=True)}, schema)
+        for c in counts:
+            c.clear()
 
     for part in by_slices(batches, 64):
-        for text, label in zip(part["text"].to_pylist(), part["label"].to_pylist(), strict=True):
-            (toxic if label else clean).update(grams(text))
-        if len(toxic) + len(clean) > 400_000:
+        for text, label, fold in zip(*(part[c].to_pylist() for c in ("text", "label", "fold")), strict=True):
+            counts[2 * fold + (0 if label else 1)].update(grams(text))
+        if sum(map(len, counts)) > 400_000:
             yield from flush()
     yield from flush()
 
 
-def fit_lexicon(sample: DataFrame, size: int = LEXICON) -> Lexicon:
-    """Entries from (text, label) rows: precision among the documents that have them, and at least 4 toxic ones."""
-    once = sample.withColumn("start", F.substring("text", 1, 48)).dropDuplicates(["start"]).select("text", "label")
-    counts = once.mapInArrow(_gram_counts, "gram string, toxic bigint, clean bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    purity = (F.col("toxic") - F.lit(1)) / (F.col("toxic") + F.col("clean"))
-    found = counts.where("toxic >= 4").withColumn("purity", purity).where("purity >= 0.5").orderBy(F.desc("toxic"), F.desc("purity"), "gram").limit(size).collect()
+def _lexicon(counts: DataFrame, folds: tuple[int, ...], size: int) -> Lexicon:
+    """The ``size`` entries with most toxic texts, of those at least half of whose texts are toxic."""
+    toxic, clean = (sum((F.col(f"{n}{f}") for f in folds), F.lit(0)) for n in ("toxic", "clean"))
+    rows = counts.select("gram", toxic.alias("toxic"), ((toxic - 1) / (toxic + clean)).alias("purity")).where("toxic >= 3 AND purity >= 0.5")
+    found = rows.orderBy(F.desc("toxic"), F.desc("purity"), "gram").limit(size).collect()
     words = [r for r in found if not r["gram"].endswith("-")]
-    return Lexicon(
-        frozenset(r["gram"] for r in words if r["purity"] >= 0.9 and r["toxic"] >= 10),
-        frozenset(r["gram"] for r in words if r["purity"] < 0.9 or r["toxic"] < 10),
-        frozenset(r["gram"][:-1] for r in found if r["gram"].endswith("-") and r["purity"] >= 0.75),
-    )
+    strong = frozenset(r["gram"] for r in words if r["purity"] >= 0.85 and r["toxic"] >= 8)
+    return Lexicon(strong, frozenset(r["gram"] for r in words) - strong, frozenset(r["gram"][:-1] for r in found if r["gram"].endswith("-") and r["purity"] >= 0.7))
 
 
-def _feature_rows(part: pa.RecordBatch, lexicon: Lexicon) -> pa.RecordBatch:
-    rows = [features(t, lexicon) for t in part["text"].to_pylist()]
+def _feature_rows(part: pa.RecordBatch, lexicons: tuple[Lexicon, Lexicon]) -> pa.RecordBatch:
+    rows = [features(t, lexicons[f]) for t, f in zip(part["text"].to_pylist(), part["fold"].to_pylist(), strict=True)]
     return pa.RecordBatch.from_arrays([part["fold"], part["label"], pa.array(rows, pa.list_(pa.float64()))], ["fold", "label", "x"])
 
 
 def fit(sample: DataFrame, lexicon_size: int = LEXICON) -> tuple[Lexicon, Boosted]:
-    """The lexicon and the calibrated trees from (id, text, label) rows."""
-    folds = stored(sample.withColumn("fold", F.pmod(F.xxhash64(F.substring("text", 1, 48), F.lit(5)), F.lit(8)).cast("int")), "toxic-sample")
-    lexicon = fit_lexicon(folds.where("fold < 4"), lexicon_size)
-    rows = folds.where("fold >= 4").mapInArrow(per_slice(partial(_feature_rows, lexicon=lexicon), 64), "fold int, label int, x array<double>").toPandas()
+    """The lexicon and the calibrated trees from (id, text, label) rows; without rows every score is low."""
+    start = F.substring("text", 1, 48)
+    folds = stored(sample.withColumn("start", start).withColumn("fold", F.pmod(F.xxhash64("start", F.lit(5)), F.lit(2)).cast("int")), "toxic-sample")
+    once = folds.dropDuplicates(["start"]).select("text", "label", "fold")
+    names = [f"{n}{f}" for f in (0, 1) for n in ("toxic", "clean")]
+    counts = once.mapInArrow(_gram_counts, "gram string, toxic0 bigint, clean0 bigint, toxic1 bigint, clean1 bigint").groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
+    counts = stored(counts.where("toxic0 + toxic1 >= 3"), "toxic-grams")
+    crossed = (_lexicon(counts, (1,), lexicon_size), _lexicon(counts, (0,), lexicon_size))
+    lexicon = _lexicon(counts, (0, 1), lexicon_size)
+    rows = folds.select("text", "label", "fold").mapInArrow(per_slice(partial(_feature_rows, lexicons=crossed), 64), "fold int, label int, x array<double>").toPandas()
     if not len(rows):
         return lexicon, Boosted([np.zeros(0)] * len(FIELDS), [], -4.0, np.zeros(0), np.zeros(0))
-    x, y, grow = np.stack(rows["x"].to_list()), rows["label"].to_numpy(float), rows["fold"].to_numpy() < 7
-    grow = grow if 20 <= grow.sum() < len(y) - 20 else np.ones(len(y), dtype=bool)
-    model = boost(x[grow], y[grow])
-    rest = ~grow if (~grow).any() else grow
-    model.xs, model.ys = isotonic(model.raw(x[rest]), y[rest])
+    x, y, fold = np.stack(rows["x"].to_list()), rows["label"].to_numpy(float), rows["fold"].to_numpy()
+    order = np.lexsort((*x.T, y, fold))  # the order of rows is no input
+    x, y, fold = x[order], y[order], fold[order]
+    model = boost(x, y)
+    raw = np.zeros(len(y))
+    for f in (0, 1):
+        if (fold == f).any():
+            raw[fold == f] = (boost(x[fold != f], y[fold != f]) if (fold != f).any() else model).raw(x[fold == f])
+    model.xs, model.ys = isotonic(raw, y)
     return lexicon, model
 
 
