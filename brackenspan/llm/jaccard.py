@@ -6,6 +6,10 @@ similar sets differ in. The shingles' hash range is cut into ``n1`` parts of ``n
 k differences some part has at most k2 of them, so some choice of ``n2 - k2`` of its subparts is the same in both
 sets, and each such choice's contents is a signature. An empty choice is no signature: a set with so few
 empty ones that a filled one must be shared leaves them out (nearly all do); the others add the empty ones.
+As parts outnumber the differences, similar sets share at least some number t of signatures. In one
+order of all signatures, each set may then leave out its t - 1 last (prefix filter): last come those made
+of common shingles only, such as of a passage many texts quote. What counts as common comes from a sample
+and steers work only: any list gives the same links.
 
 Signatures travel as packed columns, bucketed by their first bits. Sets that share one are candidates; a
 count vector bounds their difference from below, and the rest are compared in full. Verification goes in two
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from functools import lru_cache, partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from brackenspan.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 N2, K2 = 2, 1
-SLACK = 0.12
+SLACK = 0.25
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 8192, 3, 200_000
 SKETCH = 64
 BUCKET_SIGNATURES = 250_000
 LEAST_BUCKETS = 256
@@ -82,7 +88,7 @@ def instance(j: int, percent: int, k2: int) -> tuple[int, int]:
     return k, full + 1 + int(np.ceil(SLACK * full))
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2: int = K2) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2: int = K2, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) of all sets' signatures."""
     sigs, owners = [], []
     choices = list(combinations(range(n2), n2 - k2))
@@ -107,7 +113,12 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2:
         total, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
         total[cell[first]] = np.add.reduceat(mixed(flat + _M[1]), first)
         filled[cell[first]] = True
-        total, filled = total.reshape(-1, n2), filled.reshape(-1, n2)
+        rare = np.zeros(base[-1], bool)
+        if common is not None and len(common):
+            rare[cell[first]] = np.add.reduceat(common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat, first) > 0
+        else:
+            rare[:] = filled
+        total, filled, rare = (x.reshape(-1, n2) for x in (total, filled, rare))
         part_job = np.repeat(np.arange(len(index)), n1)
         part = np.arange(len(part_job)) - (base[:-1] // n2)[part_job]
         some = np.stack([filled[:, list(c)].any(axis=1) for c in choices], axis=1)
@@ -115,21 +126,51 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2:
         high = np.array([bands(percent)[j + 1] - 1 for j in inst])
         partner = np.minimum(size * 100 // percent, high * 100 // percent) if role == 0 else np.minimum(size, high)
         own_k = (size + partner) * (100 - percent) // (100 + percent)
-        sure = np.add.reduceat(some.all(axis=1).astype(np.int64), base[:-1] // n2) > own_k // (k2 + 1)
+        spoilt = own_k * comb(n2 - 1, n2 - k2 - 1)
+        at_least = np.add.reduceat(some.sum(axis=1), base[:-1] // n2) - spoilt
+        sure = (np.add.reduceat(some.all(axis=1).astype(np.int64), base[:-1] // n2) > own_k // (k2 + 1)) | (at_least >= 1)
         keep = some | ~sure[part_job][:, None]
+        usual = []
         for c, subset in enumerate(choices):
             rows = np.flatnonzero(keep[:, c])
             seed = (inst[part_job[rows]].astype(np.uint64) * _M[2]) ^ (part[rows].astype(np.uint64) * _M[3]) ^ np.uint64((c + 1) * int(_M[4]) & 0xFFFFFFFFFFFFFFFF)
-            sigs.append(mixed(total[rows][:, list(subset)].sum(axis=1, dtype=np.uint64) ^ mixed(seed)))
-            owners.append(index[part_job[rows]])
+            sig = mixed(total[rows][:, list(subset)].sum(axis=1, dtype=np.uint64) ^ mixed(seed))
+            last = some[rows, c] & ~rare[rows][:, list(subset)].any(axis=1)
+            usual.append((sig[last], part_job[rows[last]]))
+            sigs.append(sig[~last])
+            owners.append(index[part_job[rows[~last]]])
+        sig, job_of = (np.concatenate(x) for x in zip(*usual, strict=True))
+        order = np.lexsort((sig, job_of))[::-1]
+        sig, job_of = sig[order], job_of[order]
+        run = np.flatnonzero(np.concatenate([[True], job_of[1:] != job_of[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        place = np.arange(len(sig)) - np.repeat(run, np.diff(np.append(run, len(sig))))
+        stays = place >= np.maximum(at_least, 1)[job_of] - 1
+        sigs.append(sig[stays])
+        owners.append(index[job_of[stays]])
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(sigs), np.concatenate(owners)
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """How many shingles fall in each of ``SKETCH`` parts; the distance of two bounds the sets' difference from below."""
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many shingles fall in each of some parts, a power of two that grows with the set.
+
+    The distance of two such vectors bounds the sets' difference from below; with a part for every few
+    shingles, unrelated sets of any size are told apart. A longer vector folds onto a shorter one.
+    """
+    parts = max(SKETCH, 1 << max(len(s) // 4 - 1, 0).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def folded(vector: np.ndarray, parts: int) -> np.ndarray:
+    return vector.reshape(-1, parts).sum(axis=0, dtype=np.int32)
+
+
+def near_enough(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
+    """Whether the whole count vectors allow the similarity; never false for similar sets."""
+    parts = min(len(x), len(y))
+    apart = np.abs(folded(np.frombuffer(x, np.uint8), parts) - folded(np.frombuffer(y, np.uint8), parts)).sum()
+    return bool(apart * (100 + percent) <= (n_x + n_y) * (100 - percent))
 
 
 def class_of(s: np.ndarray) -> int | None:
@@ -143,10 +184,30 @@ def _described(batches, width: int):
         yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary())], ["id", "n", "class", "sketch"])
 
 
+def _counted(batches, width: int):
+    sets = {}
+    for part in by_slices(batches, 256):
+        for text in part["text"].to_pylist():
+            s = shingles(text, width)
+            sets[class_of(s)] = s
+    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
+    for at in range(0, len(found), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["shingle", "n"])
+
+
+def _common(texts: DataFrame, classes: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that several texts of a bounded sample share; a hint, at most ``COMMON_MOST`` long."""
+    n = classes.count()
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(min(1 << 20, max(1, (COMMON_SAMPLE << 20) // max(n, 1))))).select("text")
+    counts = some.mapInArrow(partial(_counted, width=width), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toPandas()
+    return np.sort(found["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
 PACKED = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("classes", pa.binary()), ("at", pa.binary())])
 
 
-def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int):
+def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int, common: np.ndarray):
     """Signatures by bucket; a row has the bits of the signatures after the bucket's, and their classes by number.
 
     Equal sets of a task give their signatures once.
@@ -155,7 +216,7 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int):
     sig_parts, owner_parts, classes = [], [], []
 
     def flush():
-        if not sig_parts:
+        if not sum(map(len, sig_parts)):
             return
         sig, owner = np.concatenate(sig_parts), np.concatenate(owner_parts)
         bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
@@ -187,7 +248,7 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int):
                 seen.add(name)
                 classes.append(name)
                 sets.append(s)
-        sig, owner = signatures(sets, percent, n2, k2)
+        sig, owner = signatures(sets, percent, n2, k2, common)
         sig_parts.append(sig)
         owner_parts.append((owner + base).astype(np.int32))
         held += len(sig)
@@ -244,20 +305,21 @@ def _shared(group: pa.Table) -> pa.Table:
     )
 
 
-def possible(sketch_a: np.ndarray, n_a: np.ndarray, sketch_b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and count vectors allow the similarity; never false for similar sets."""
-    apart = np.abs(sketch_a.astype(np.int16) - sketch_b.astype(np.int16)).sum(axis=-1)
+def possible(short_a: np.ndarray, n_a: np.ndarray, short_b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and folded count vectors allow the similarity; never false for similar sets."""
+    apart = np.abs(short_a - short_b).sum(axis=-1)
     return (apart * (100 + percent) <= (n_a + n_b) * (100 - percent)) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent)
 
 
-def _vectors_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+def _short(vectors: list[bytes]) -> np.ndarray:
+    return np.array([folded(np.frombuffer(v, np.uint8), SKETCH) for v in vectors], dtype=np.int32).reshape(-1, SKETCH)
 
 
 def _filtered(batches, percent: int):
-    for part in by_slices(batches, 4096):
-        keep = possible(_vectors_of(part["sa"]), part["na"].to_numpy(), _vectors_of(part["sb"]), part["nb"].to_numpy(), percent)
-        yield part.select(["a", "b", "shared"]).filter(pa.array(keep))
+    for part in by_slices(batches, 1024):
+        va, vb, na, nb = (part[c].to_pylist() for c in ("sa", "sb", "na", "nb"))
+        keep = [min(m, n) * 100 >= max(m, n) * percent and near_enough(x, m, y, n, percent) for x, m, y, n in zip(va, na, vb, nb, strict=True)]
+        yield part.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _crossing(percent: int):
@@ -267,13 +329,15 @@ def _crossing(percent: int):
         left, right = (group.filter(pa.array(group["side"].to_numpy() == s)) for s in (0, 1))
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
-            lv, rv = (_vectors_of(t["sketch"].combine_chunks()) for t in (left, right))
+            lw, rw = left["sketch"].to_pylist(), right["sketch"].to_pylist()
+            lv, rv = _short(lw), _short(rw)
             ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
             ll, rl = left["label"].to_numpy(), right["label"].to_numpy()
             lc, rc = left["class"].to_numpy(), right["class"].to_numpy()
             for k in range(len(lc)):
                 other = np.flatnonzero((rl != ll[k]) & (rc != lc[k]))
                 ok = other[possible(lv[k], ln[k], rv[other], rn[other], percent)] if len(other) else other
+                ok = np.array([m for m in ok if near_enough(lw[k], int(ln[k]), rw[m], int(rn[m]), percent)], dtype=np.int64)
                 out_a.append(np.minimum(lc[k], rc[ok]))
                 out_b.append(np.maximum(lc[k], rc[ok]))
         empty = np.zeros(0, np.int64)
@@ -325,9 +389,10 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A class's text is that of its least id; should that id repeat with another text, its class is found by content.
     classes = stored(described.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
 
+    usual = _common(texts, classes, width)
     total = described.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, int(np.ceil(np.log2(max(total * 0.75 / BUCKET_SIGNATURES, 1)))))
-    packed = texts.select("text").mapInArrow(partial(_packed, width=width, percent=percent, n2=n2, k2=k2, bits=bits), "bucket int, sigs binary, classes binary, at binary")
+    packed = texts.select("text").mapInArrow(partial(_packed, width=width, percent=percent, n2=n2, k2=k2, bits=bits, common=usual), "bucket int, sigs binary, classes binary, at binary")
     found = stored(packed.groupBy("bucket").applyInArrow(_shared, "kind int, a bigint, b bigint, shared bigint"), "jaccard-found")
     del packed
 
