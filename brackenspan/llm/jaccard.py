@@ -7,9 +7,9 @@ k differences some part has at most k2 of them, so some choice of ``n2 - k2`` of
 sets, and each such choice's contents is a signature. An empty choice is no signature: a set with so few
 empty ones that a filled one must be shared leaves them out (nearly all do); the others add the empty ones.
 As parts outnumber the differences, similar sets share at least some number t of signatures. In one
-order of all signatures, each set may then leave out its t - 1 last (prefix filter): last come those made
-of common shingles only, such as of a passage many texts quote. What counts as common comes from a sample
-and steers work only: any list gives the same links.
+order of all signatures, each set may then leave out its t - 1 last (prefix filter): last come those that most
+sets have, as counted over all sets, such as of a passage many texts quote. Two larger partners of one instance
+needn't meet there, as they do in their own band's.
 
 Signatures travel as packed columns, bucketed by their first bits. Sets that share one are candidates; a
 count vector bounds their difference from below, and the rest are compared in full. Verification goes in two
@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brackenspan.llm.common import by_slices, stored, table, text_or_empty
@@ -37,7 +37,6 @@ SHINGLE = 5
 PERCENT = 75
 N2, K2 = 2, 1
 SLACK = 0.25
-COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 8192, 3, 200_000
 SKETCH = 64
 BUCKET_SIGNATURES = 250_000
 LEAST_BUCKETS = 256
@@ -88,67 +87,69 @@ def instance(j: int, percent: int, k2: int) -> tuple[int, int]:
     return k, full + 1 + int(np.ceil(SLACK * full))
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2: int = K2, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) of all sets' signatures."""
-    sigs, owners = [], []
-    choices = list(combinations(range(n2), n2 - k2))
+def _dealt(sets: list[np.ndarray], role: int, percent: int, n2: int, k2: int):
+    """The sets' shingles dealt to the cells of their instances in this role; None without any.
+
+    Of each set: its index, instance, number of parts and the number of its filled signatures that a
+    similar partner must share (under 1: no bound). Of all cells in a row: content and whether filled.
+    """
     starts = np.array(bands(percent))
+    jobs = []
+    for i, s in enumerate(sets):
+        if len(s):
+            j = int(np.searchsorted(starts, len(s), side="right")) - 1 - role
+            if j >= 0:
+                jobs.append((i, j, *instance(j, percent, k2)))
+    if not jobs:
+        return None
+    index, inst, _, n1 = (np.array(c, dtype=np.int64) for c in zip(*jobs, strict=True))
+    size = np.array([len(sets[i]) for i in index])
+    base = np.concatenate([[0], np.cumsum(n1 * n2)])
+    flat = np.concatenate([sets[i] for i in index])
+    job = np.repeat(np.arange(len(index)), size)
+    cell = ((flat >> np.uint64(32)) * (n1 * n2).astype(np.uint64)[job] >> np.uint64(32)).astype(np.int64) + base[job]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    total, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+    total[cell[first]] = np.add.reduceat(mixed(flat + _M[1]), first)
+    filled[cell[first]] = True
+    total, filled = total.reshape(-1, n2), filled.reshape(-1, n2)
+    some = np.stack([filled[:, list(c)].any(axis=1) for c in combinations(range(n2), n2 - k2)], axis=1)
+    # Differences this set may have with a partner of this instance, from its own size.
+    high = np.array([bands(percent)[j + 1] - 1 for j in inst])
+    partner = np.minimum(size * 100 // percent, high * 100 // percent) if role == 0 else np.minimum(size, high)
+    own_k = (size + partner) * (100 - percent) // (100 + percent)
+    part_base = base[:-1] // n2
+    at_least = np.add.reduceat(some.sum(axis=1), part_base) - own_k * comb(n2 - 1, n2 - k2 - 1)
+    sure = (np.add.reduceat(some.all(axis=1).astype(np.int64), part_base) > own_k // (k2 + 1)) | (at_least >= 1)
+    return index, inst, n1, at_least, sure, part_base, total, some
+
+
+def least_shared(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2: int = K2) -> np.ndarray:
+    """For each set and role, how many signatures a similar partner must share; at least 1."""
+    out = np.ones((len(sets), 2), np.int64)
+    for role in (0, 1):
+        dealt = _dealt(sets, role, percent, n2, k2)
+        if dealt is not None:
+            out[dealt[0], role] = np.maximum(dealt[3], 1)
+    return out
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2: int = K2) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, twice the index of its set plus its role) of all sets' signatures."""
+    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for role in (0, 1):
-        jobs = []
-        for i, s in enumerate(sets):
-            if len(s):
-                j = int(np.searchsorted(starts, len(s), side="right")) - 1 - role
-                if j >= 0:
-                    jobs.append((i, j, *instance(j, percent, k2)))
-        if not jobs:
+        dealt = _dealt(sets, role, percent, n2, k2)
+        if dealt is None:
             continue
-        index, inst, _, n1 = (np.array(c, dtype=np.int64) for c in zip(*jobs, strict=True))
-        size = np.array([len(sets[i]) for i in index])
-        cells = n1 * n2
-        base = np.concatenate([[0], np.cumsum(cells)])
-        flat = np.concatenate([sets[i] for i in index])
-        job = np.repeat(np.arange(len(index)), size)
-        cell = ((flat >> np.uint64(32)) * cells.astype(np.uint64)[job] >> np.uint64(32)).astype(np.int64) + base[job]
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        total, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
-        total[cell[first]] = np.add.reduceat(mixed(flat + _M[1]), first)
-        filled[cell[first]] = True
-        rare = np.zeros(base[-1], bool)
-        if common is not None and len(common):
-            rare[cell[first]] = np.add.reduceat(common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat, first) > 0
-        else:
-            rare[:] = filled
-        total, filled, rare = (x.reshape(-1, n2) for x in (total, filled, rare))
+        index, inst, n1, _, sure, part_base, total, some = dealt
         part_job = np.repeat(np.arange(len(index)), n1)
-        part = np.arange(len(part_job)) - (base[:-1] // n2)[part_job]
-        some = np.stack([filled[:, list(c)].any(axis=1) for c in choices], axis=1)
-        # Differences this set may have with a partner of this instance, from its own size.
-        high = np.array([bands(percent)[j + 1] - 1 for j in inst])
-        partner = np.minimum(size * 100 // percent, high * 100 // percent) if role == 0 else np.minimum(size, high)
-        own_k = (size + partner) * (100 - percent) // (100 + percent)
-        spoilt = own_k * comb(n2 - 1, n2 - k2 - 1)
-        at_least = np.add.reduceat(some.sum(axis=1), base[:-1] // n2) - spoilt
-        sure = (np.add.reduceat(some.all(axis=1).astype(np.int64), base[:-1] // n2) > own_k // (k2 + 1)) | (at_least >= 1)
+        part = np.arange(len(part_job)) - part_base[part_job]
         keep = some | ~sure[part_job][:, None]
-        usual = []
-        for c, subset in enumerate(choices):
+        for c, subset in enumerate(combinations(range(n2), n2 - k2)):
             rows = np.flatnonzero(keep[:, c])
             seed = (inst[part_job[rows]].astype(np.uint64) * _M[2]) ^ (part[rows].astype(np.uint64) * _M[3]) ^ np.uint64((c + 1) * int(_M[4]) & 0xFFFFFFFFFFFFFFFF)
-            sig = mixed(total[rows][:, list(subset)].sum(axis=1, dtype=np.uint64) ^ mixed(seed))
-            last = some[rows, c] & ~rare[rows][:, list(subset)].any(axis=1)
-            usual.append((sig[last], part_job[rows[last]]))
-            sigs.append(sig[~last])
-            owners.append(index[part_job[rows[~last]]])
-        sig, job_of = (np.concatenate(x) for x in zip(*usual, strict=True))
-        order = np.lexsort((sig, job_of))[::-1]
-        sig, job_of = sig[order], job_of[order]
-        run = np.flatnonzero(np.concatenate([[True], job_of[1:] != job_of[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        place = np.arange(len(sig)) - np.repeat(run, np.diff(np.append(run, len(sig))))
-        stays = place >= np.maximum(at_least, 1)[job_of] - 1
-        sigs.append(sig[stays])
-        owners.append(index[job_of[stays]])
-    if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            sigs.append(mixed(total[rows][:, list(subset)].sum(axis=1, dtype=np.uint64) ^ mixed(seed)))
+            owners.append(2 * index[part_job[rows]] + role)
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -178,37 +179,21 @@ def class_of(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
-def _described(batches, width: int):
+def _described(batches, width: int, percent: int, n2: int, k2: int):
     for part in by_slices(batches, 256):
         sets = [shingles(t, width) for t in part["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary())], ["id", "n", "class", "sketch"])
-
-
-def _counted(batches, width: int):
-    sets = {}
-    for part in by_slices(batches, 256):
-        for text in part["text"].to_pylist():
-            s = shingles(text, width)
-            sets[class_of(s)] = s
-    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
-    for at in range(0, len(found), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["shingle", "n"])
-
-
-def _common(texts: DataFrame, classes: DataFrame, width: int) -> np.ndarray:
-    """Sorted shingles that several texts of a bounded sample share; a hint, at most ``COMMON_MOST`` long."""
-    n = classes.count()
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(min(1 << 20, max(1, (COMMON_SAMPLE << 20) // max(n, 1))))).select("text")
-    counts = some.mapInArrow(partial(_counted, width=width), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toPandas()
-    return np.sort(found["shingle"].to_numpy(np.int64).view(np.uint64))
+        least = least_shared(sets, percent, n2, k2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])],
+            ["id", "n", "class", "sketch", "least0", "least1"],
+        )
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("classes", pa.binary()), ("at", pa.binary())])
 
 
-def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int, common: np.ndarray):
-    """Signatures by bucket; a row has the bits of the signatures after the bucket's, and their classes by number.
+def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int):
+    """Signatures by bucket; a row has the bits of the signatures after the bucket's, and their classes by number and role.
 
     Equal sets of a task give their signatures once.
     """
@@ -226,12 +211,13 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int, comm
         rows = {n: [] for n in PACKED.names}
         for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
             mine = order[a:b]
-            used, at = np.unique(owner[mine], return_inverse=True)
+            used, at = np.unique(owner[mine] >> 1, return_inverse=True)
+            at = 2 * at + (owner[mine] & 1)
             tail = ((sig[mine] << np.uint64(bits)) >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
             rows["bucket"].append(int(bucket[mine[0]]))
             rows["sigs"].append(np.ascontiguousarray(tail).tobytes())
             rows["classes"].append(table_[used].tobytes())
-            rows["at"].append(at.astype(np.uint16 if len(used) <= 65_536 else np.uint32).tobytes())
+            rows["at"].append(at.astype(np.uint16 if len(used) <= 32_768 else np.uint32).tobytes())
             if len(rows["bucket"]) == 256:
                 yield pa.RecordBatch.from_pydict(rows, PACKED)
                 rows = {n: [] for n in PACKED.names}
@@ -248,9 +234,9 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int, comm
                 seen.add(name)
                 classes.append(name)
                 sets.append(s)
-        sig, owner = signatures(sets, percent, n2, k2, common)
+        sig, owner = signatures(sets, percent, n2, k2)
         sig_parts.append(sig)
-        owner_parts.append((owner + base).astype(np.int32))
+        owner_parts.append((owner + 2 * base).astype(np.int32))
         held += len(sig)
         if held > 4_000_000:
             yield from flush()
@@ -260,46 +246,59 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int, comm
     yield from flush()
 
 
-FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("role", pa.int32()), ("size", pa.int64())])
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0, (least class of a signature, another, number of such); kind 1, (group, member) of three or more."""
-    sig, cls = [], []
+    """Of one bucket: kind 0, (least smaller partner of a signature, another member, number of such signatures);
+    kind 1, (group, member, number of signatures of this group, the member's role, size) of three or more.
+    """
+    sig, cls, role = [], [], []
     for s, c, at in zip(group["sigs"].to_pylist(), group["classes"].to_pylist(), group["at"].to_pylist(), strict=True):
         five = np.frombuffer(s, np.uint8).reshape(-1, 5)
         eight = np.zeros((len(five), 8), np.uint8)
         eight[:, 3:] = five
         sig.append(eight.reshape(-1).view(">u8").astype(np.uint64))
-        kind = np.uint16 if len(at) == 2 * len(five) else np.uint32
-        cls.append(np.frombuffer(c, np.int64)[np.frombuffer(at, kind)])
-    sig, cls = np.concatenate(sig), np.concatenate(cls)
+        at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(five) else np.uint32)
+        cls.append(np.frombuffer(c, np.int64)[at >> 1])
+        role.append((at & 1).astype(np.uint8))
+    sig, cls, role = np.concatenate(sig), np.concatenate(cls), np.concatenate(role)
     # Only signatures that occur twice matter, and few do.
     order = np.argsort(sig, kind="stable")
-    sig, cls = sig[order], cls[order]
     twin = np.zeros(len(sig), bool)
-    twin[1:] = sig[1:] == sig[:-1]
+    twin[1:] = sig[order[1:]] == sig[order[:-1]]
     twin[:-1] |= twin[1:]
-    sig, cls = sig[twin], cls[twin]
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
+    order = order[twin]
+    sig, cls, role = sig[order], cls[order], role[order]
+    order = np.lexsort((cls, role, sig))
+    sig, cls, role = sig[order], cls[order], role[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls = sig[new], cls[new]
+    sig, cls, role = sig[new], cls[new], role[new]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(sig)))
-    lead = np.repeat(cls[start], length) if len(sig) else cls
+    # Roles rise within a signature: one whose first member is a larger partner has no smaller one.
+    useful = np.repeat((role[start] == 0) & (length > 1), length) if len(sig) else np.zeros(0, bool)
+    sig, cls, role = sig[useful], cls[useful], role[useful]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(sig)))
+    lead = np.repeat(cls[start], length)
     other = lead != cls
-    pairs, shared = np.unique(np.stack([lead[other], cls[other]], axis=1), axis=0, return_counts=True)
-    group_of = np.repeat(np.bitwise_xor.reduceat(mixed(cls.astype(np.uint64)), start) + length.astype(np.uint64), length) if len(sig) else sig
-    big = np.repeat(length, length) >= 3 if len(sig) else other
-    members = np.unique(np.stack([group_of[big].astype(np.int64), cls[big]], axis=1), axis=0)
+    pairs, shared = np.unique(np.stack([np.minimum(lead, cls)[other], np.maximum(lead, cls)[other]], axis=1), axis=0, return_counts=True)
+    marks = mixed(cls.astype(np.uint64) * np.uint64(2) + role)
+    group_of = np.repeat(np.bitwise_xor.reduceat(marks, start) + length.astype(np.uint64), length) if len(sig) else sig
+    sizes = np.repeat(length, length)
+    big = sizes >= 3
+    members, times = np.unique(np.stack([group_of.astype(np.int64), cls, role.astype(np.int64), sizes], axis=1)[big], axis=0, return_counts=True)
+    none = np.zeros(len(pairs), np.int64)
     return pa.Table.from_arrays(
         [
             pa.array(np.repeat([0, 1], [len(pairs), len(members)]).astype(np.int32)),
             pa.array(np.concatenate([pairs[:, 0], members[:, 0]])),
             pa.array(np.concatenate([pairs[:, 1], members[:, 1]])),
-            pa.array(np.concatenate([shared, np.ones(len(members), np.int64)])),
+            pa.array(np.concatenate([shared, times]).astype(np.int64)),
+            pa.array(np.concatenate([none, members[:, 2]]).astype(np.int32)),
+            pa.array(np.concatenate([none, members[:, 3]])),
         ],
         schema=FOUND,
     )
@@ -322,29 +321,53 @@ def _filtered(batches, percent: int):
         yield part.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _crossing(percent: int):
-    """Candidate pairs of one pair of blocks of a group: other label, and possible by size and count vector."""
+CELL = ["group", "x", "y"]
 
-    def run(group: pa.Table) -> pa.Table:
-        left, right = (group.filter(pa.array(group["side"].to_numpy() == s)) for s in (0, 1))
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            lw, rw = left["sketch"].to_pylist(), right["sketch"].to_pylist()
-            lv, rv = _short(lw), _short(rw)
-            ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
-            ll, rl = left["label"].to_numpy(), right["label"].to_numpy()
-            lc, rc = left["class"].to_numpy(), right["class"].to_numpy()
-            for k in range(len(lc)):
-                other = np.flatnonzero((rl != ll[k]) & (rc != lc[k]))
-                ok = other[possible(lv[k], ln[k], rv[other], rn[other], percent)] if len(other) else other
-                ok = np.array([m for m in ok if near_enough(lw[k], int(ln[k]), rw[m], int(rn[m]), percent)], dtype=np.int64)
-                out_a.append(np.minimum(lc[k], rc[ok]))
-                out_b.append(np.maximum(lc[k], rc[ok]))
-        empty = np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])], axis=1), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return run
+
+def _compared(cell: pa.Table, percent: int) -> np.ndarray:
+    """Candidate pairs of one pair of blocks of a group: other label, and possible by size and count vector."""
+    x, y, side = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["side"].to_numpy()
+    whole, label, cls, n, role = cell["sketch"].to_pylist(), *(cell[c].to_numpy() for c in ("label", "class", "n", "role"))
+    vectors = _short(whole)
+    left, right = (np.arange(len(cls)),) * 2 if x == y else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step, out = max(1, 16_384 // max(len(right), 1)), []
+    for at in range(0, len(left), step):
+        i, j = (k.ravel() for k in np.meshgrid(left[at : at + step], right, indexing="ij"))
+        ok = (label[i] != label[j]) & (role[i] + role[j] < 2)
+        if x == y:
+            ok &= cls[i] < cls[j]
+        i, j = i[ok], j[ok]
+        ok = possible(vectors[i], n[i], vectors[j], n[j], percent)
+        out += [(min(cls[a], cls[b]), max(cls[a], cls[b])) for a, b in zip(i[ok], j[ok], strict=True) if near_enough(whole[a], int(n[a]), whole[b], int(n[b]), percent)]
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def _crossing(batches, percent: int):
+    """Pairs of each run of rows of one cell; rows come sorted by cell, and one cell is held at a time."""
+    held, last, out, n = [], None, [], 0
+
+    def pairs():
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in CELL], axis=1)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            key = tuple(keys[a])
+            if key != last and held:
+                out.append(_compared(pa.Table.from_batches(held), percent))
+                n += len(out[-1])
+                held = []
+                if n > 100_000:
+                    yield pairs()
+                    out, n = [], 0
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        out.append(_compared(pa.Table.from_batches(held), percent))
+    if out:
+        yield pairs()
 
 
 def _set_rows(batches, width: int):
@@ -385,15 +408,14 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    described = stored(texts.mapInArrow(partial(_described, width=width), f"id {kind}, n bigint, class bigint, sketch binary"), "jaccard-rows")
+    described = stored(texts.mapInArrow(partial(_described, width=width, percent=percent, n2=n2, k2=k2), f"id {kind}, n bigint, class bigint, sketch binary, least0 int, least1 int"), "jaccard-rows")
     # A class's text is that of its least id; should that id repeat with another text, its class is found by content.
-    classes = stored(described.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    classes = stored(described.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("sketch", "least0", "least1"))), "jaccard-classes")
 
-    usual = _common(texts, classes, width)
     total = described.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, int(np.ceil(np.log2(max(total * 0.75 / BUCKET_SIGNATURES, 1)))))
-    packed = texts.select("text").mapInArrow(partial(_packed, width=width, percent=percent, n2=n2, k2=k2, bits=bits, common=usual), "bucket int, sigs binary, classes binary, at binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(_shared, "kind int, a bigint, b bigint, shared bigint"), "jaccard-found")
+    packed = texts.select("text").mapInArrow(partial(_packed, width=width, percent=percent, n2=n2, k2=k2, bits=bits), "bucket int, sigs binary, classes binary, at binary")
+    found = stored(packed.groupBy("bucket").applyInArrow(_shared, "kind int, a bigint, b bigint, shared bigint, role int, size bigint"), "jaccard-found")
     del packed
 
     facts = lambda side: classes.select(F.col("class").alias(side), F.col("n").alias("n" + side), F.col("sketch").alias("s" + side))
@@ -406,16 +428,19 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # What is still apart: other partners of a least class, and other members of a signature's group.
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("l" + side))
     apart = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
-    members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class")).distinct()
-    members = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "shared", "role", "size").repartition("class")
+    members = members.groupBy("class", "role", "group", "size").agg(F.sum("shared").alias("shared")).join(classes.select("class", "least0", "least1"), "class")
+    # The prefix filter: of a set's signatures in a role, the most frequent may go while a shared one must stay.
+    so_far = F.sum("shared").over(Window.partitionBy("class", "role").orderBy(F.desc("size"), "group").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    members = members.withColumn("so_far", so_far).where(F.col("so_far") >= F.when(F.col("role") == 0, F.col("least0")).otherwise(F.col("least1")))
+    members = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("group", "class", "role", F.coalesce("label", "class").alias("label"))
     members = stored(members, "jaccard-members")
-    open_ = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("group", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    open_ = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("role"), F.count("*").alias("size")).where("lo != hi AND role = 0").select("group", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(open_, "group").join(classes.select("class", "n", "sketch"), "class").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
     # Each pair of blocks of a group is one unit of work, however large the group.
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    grid = dealt.withColumn("cell", F.explode(cells)).withColumn("side", F.explode(F.expr("CASE WHEN cell.x = cell.y THEN array(0, 1) WHEN block = cell.x THEN array(0) ELSE array(1) END")))
-    grid = grid.select("group", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "side", "class", "label", "n", "sketch")
-    crossing = grid.groupBy("group", "x", "y").applyInArrow(_crossing(percent), "a bigint, b bigint")
+    grid = dealt.withColumn("cell", F.explode(cells)).select("group", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.when(F.col("block") == F.col("cell.x"), 0).otherwise(1).alias("side"), "class", "role", "label", "n", "sketch")
+    crossing = grid.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(partial(_crossing, percent=percent), "a bigint, b bigint")
     more = apart.union(crossing).join(best, ["a", "b"], "left_anti")
     links = links.union(_verified(more, texts, classes, width, percent))
     labels = components(links)
