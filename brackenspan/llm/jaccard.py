@@ -38,6 +38,7 @@ PERCENT = 75
 N2, K2 = 2, 1
 SLACK = 0.25
 SKETCH = 64
+LEVELS, MOST_PARTS = 6, 1024
 BUCKET_SIGNATURES = 250_000
 LEAST_BUCKETS = 256
 BLOCK = 512
@@ -304,14 +305,15 @@ def _shared(group: pa.Table) -> pa.Table:
     )
 
 
-def possible(short_a: np.ndarray, n_a: np.ndarray, short_b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and folded count vectors allow the similarity; never false for similar sets."""
-    apart = np.abs(short_a - short_b).sum(axis=-1)
-    return (apart * (100 + percent) <= (n_a + n_b) * (100 - percent)) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent)
+def _unary(vectors: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, which parts hold at least 1, 2 .. ``LEVELS`` shingles, and how many shingles that leaves out.
 
-
-def _short(vectors: list[bytes]) -> np.ndarray:
-    return np.array([folded(np.frombuffer(v, np.uint8), SKETCH) for v in vectors], dtype=np.int32).reshape(-1, SKETCH)
+    The product of two rows plus the lesser rest bounds the sets' intersection from above.
+    """
+    parts = min(MOST_PARTS, *map(len, vectors))
+    counts = np.stack([folded(np.frombuffer(v, np.uint8), parts) for v in vectors])
+    marks = np.concatenate([counts >= k for k in range(1, LEVELS + 1)], axis=1)
+    return marks.astype(np.float32), n - marks.sum(axis=1)
 
 
 def _filtered(batches, percent: int):
@@ -328,18 +330,20 @@ def _compared(cell: pa.Table, percent: int) -> np.ndarray:
     """Candidate pairs of one pair of blocks of a group: other label, and possible by size and count vector."""
     x, y, side = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["side"].to_numpy()
     whole, label, cls, n, role = cell["sketch"].to_pylist(), *(cell[c].to_numpy() for c in ("label", "class", "n", "role"))
-    vectors = _short(whole)
     left, right = (np.arange(len(cls)),) * 2 if x == y else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    step, out = max(1, 16_384 // max(len(right), 1)), []
-    for at in range(0, len(left), step):
-        i, j = (k.ravel() for k in np.meshgrid(left[at : at + step], right, indexing="ij"))
-        ok = (label[i] != label[j]) & (role[i] + role[j] < 2)
-        if x == y:
-            ok &= cls[i] < cls[j]
-        i, j = i[ok], j[ok]
-        ok = possible(vectors[i], n[i], vectors[j], n[j], percent)
-        out += [(min(cls[a], cls[b]), max(cls[a], cls[b])) for a, b in zip(i[ok], j[ok], strict=True) if near_enough(whole[a], int(n[a]), whole[b], int(n[b]), percent)]
-    return np.array(out, dtype=np.int64).reshape(-1, 2)
+    if not len(left) or not len(right) or (label == label[0]).all():
+        return np.zeros((0, 2), np.int64)
+    marks, rest = _unary(whole, n)
+    ok = (label[left][:, None] != label[right]) & (role[left][:, None] + role[right] < 2)
+    if x == y:
+        ok &= cls[left][:, None] < cls[right]
+    both = n[left][:, None] + n[right]
+    most = np.minimum(rest[left][:, None], rest[right]) + marks[left] @ marks[right].T
+    ok &= most * (100 + percent) >= both * percent
+    ok &= np.minimum(n[left][:, None], n[right]) * 100 >= np.maximum(n[left][:, None], n[right]) * percent
+    i, j = np.nonzero(ok)
+    a, b = cls[left[i]], cls[right[j]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
 def _crossing(batches, percent: int):
@@ -440,7 +444,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Each pair of blocks of a group is one unit of work, however large the group.
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     grid = dealt.withColumn("cell", F.explode(cells)).select("group", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.when(F.col("block") == F.col("cell.x"), 0).otherwise(1).alias("side"), "class", "role", "label", "n", "sketch")
-    crossing = grid.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(partial(_crossing, percent=percent), "a bigint, b bigint")
+    crossing = grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *CELL).sortWithinPartitions(*CELL).mapInArrow(partial(_crossing, percent=percent), "a bigint, b bigint").distinct()
+    # Once for each pair, however many groups it meets in: the whole count vectors.
+    crossing = crossing.withColumn("shared", F.lit(0)).join(facts("a"), "a").join(facts("b"), "b").mapInArrow(partial(_filtered, percent=percent), "a bigint, b bigint, shared int").select("a", "b")
     more = apart.union(crossing).join(best, ["a", "b"], "left_anti")
     links = links.union(_verified(more, texts, classes, width, percent))
     labels = components(links)
