@@ -12,10 +12,11 @@ sets have, as counted over all sets, such as of a passage many texts quote. Two
 needn't meet there, as they do in their own band's.
 
 Signatures travel as packed columns, bucketed by their first bits. Sets that share one are candidates; a
-count vector bounds their difference from below, and the rest are compared in full. Verification goes in two
-steps: every set with the partner it shares most signatures with, then, for whatever is still in different
-components, all partners. So links inside an established group needn't all be made, and none between
-different groups is missed.
+bit vector of parities bounds their difference from below, and the rest are compared in full. Verification goes in
+rounds, with components after each: every set with the partner it shares most signatures with; then the likeliest
+links that would join a signature group's components, a spanning forest in each block and next in each pair of
+blocks; last, for whatever is still in different components, all partners. So links inside an established
+group needn't all be made, and none between different groups is missed. Groups of a few sets go straight to the last round.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ SHINGLE = 5
 PERCENT = 75
 N2, K2 = 2, 1
 SLACK = 0.25
-SKETCH = 64
-LEVELS, MOST_PARTS = 6, 1024
+SKETCH = 512
+MOST_PARTS = 2048
 BUCKET_SIGNATURES = 250_000
 LEAST_BUCKETS = 256
 BLOCK = 512
+FOREST_FROM = 8
 BROADCAST_CLASSES = 200_000
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -154,25 +156,26 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT, n2: int = N2, k2:
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def count_vector(s: np.ndarray) -> bytes:
-    """How many shingles fall in each of some parts, a power of two that grows with the set.
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of some parts, a power of two that grows with the set: whether it holds an odd number of shingles.
 
-    The distance of two such vectors bounds the sets' difference from below; with a part for every few
-    shingles, unrelated sets of any size are told apart. A longer vector folds onto a shorter one.
+    Bits in which two sets differ bound the sets' difference from below, closely as there are two parts or more
+    for each shingle. A longer vector folds onto a shorter one.
     """
-    parts = max(SKETCH, 1 << max(len(s) // 4 - 1, 0).bit_length())
-    return np.minimum(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+    parts = max(SKETCH, 1 << max(2 * len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1).tobytes()
 
 
-def folded(vector: np.ndarray, parts: int) -> np.ndarray:
-    return vector.reshape(-1, parts).sum(axis=0, dtype=np.int32)
+def folded(vector: bytes, size: int) -> np.ndarray:
+    """The first ``size`` bytes' worth of parts, each the parity of those it stands for."""
+    return np.bitwise_xor.reduce(np.frombuffer(vector, np.uint8).reshape(-1, size), axis=0)
 
 
 def near_enough(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
-    """Whether the whole count vectors allow the similarity; never false for similar sets."""
-    parts = min(len(x), len(y))
-    apart = np.abs(folded(np.frombuffer(x, np.uint8), parts) - folded(np.frombuffer(y, np.uint8), parts)).sum()
-    return bool(apart * (100 + percent) <= (n_x + n_y) * (100 - percent))
+    """Whether the whole vectors allow the similarity; never false for similar sets."""
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return apart * (100 + percent) <= (n_x + n_y) * (100 - percent)
 
 
 def class_of(s: np.ndarray) -> int | None:
@@ -185,7 +188,7 @@ def _described(batches, width: int, percent: int, n2: int, k2: int):
         sets = [shingles(t, width) for t in part["text"].to_pylist()]
         least = least_shared(sets, percent, n2, k2).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([count_vector(s) for s in sets], pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])],
+            [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])],
             ["id", "n", "class", "sketch", "least0", "least1"],
         )
 
@@ -305,15 +308,10 @@ def _shared(group: pa.Table) -> pa.Table:
     )
 
 
-def _unary(vectors: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set, which parts hold at least 1, 2 .. ``LEVELS`` shingles, and how many shingles that leaves out.
-
-    The product of two rows plus the lesser rest bounds the sets' intersection from above.
-    """
-    parts = min(MOST_PARTS, *map(len, vectors))
-    counts = np.stack([folded(np.frombuffer(v, np.uint8), parts) for v in vectors])
-    marks = np.concatenate([counts >= k for k in range(1, LEVELS + 1)], axis=1)
-    return marks.astype(np.float32), n - marks.sum(axis=1)
+def _bits(vectors: list[bytes]) -> np.ndarray:
+    """The vectors as rows of zeros and ones, folded to the shortest of them."""
+    size = min(MOST_PARTS // 8, *map(len, vectors))
+    return np.unpackbits(np.stack([folded(v, size) for v in vectors]), axis=1).astype(np.float32)
 
 
 def _filtered(batches, percent: int):
@@ -326,27 +324,59 @@ def _filtered(batches, percent: int):
 CELL = ["group", "x", "y"]
 
 
-def _compared(cell: pa.Table, percent: int) -> np.ndarray:
-    """Candidate pairs of one pair of blocks of a group: other label, and possible by size and count vector."""
+def _forest(score: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of high scores; ``left`` and ``right`` have their labels, negative scores no edge."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = at[: len(left)], at[len(left) :]
+    root = np.arange(len(names))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    rows, cols = [], []
+    while True:
+        top = np.array([find(k) for k in range(len(names))])
+        open_ = np.where(top[left][:, None] != top[right], score, -1.0)
+        # The best edge of every row and column has that of every component among them.
+        i = np.concatenate([np.arange(len(left)), open_.argmax(axis=0)])
+        j = np.concatenate([open_.argmax(axis=1), np.arange(len(right))])
+        value = open_[i, j]
+        some = np.flatnonzero(value >= 0)
+        if not len(some):
+            return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+        for k in some[np.lexsort((j[some], i[some], -value[some]))]:
+            one, other = find(left[i[k]]), find(right[j[k]])
+            if one != other:
+                root[max(one, other)] = min(one, other)
+                rows.append(i[k])
+                cols.append(j[k])
+
+
+def _compared(cell: pa.Table, percent: int, forest: bool) -> np.ndarray:
+    """Candidate pairs of one pair of blocks of a group: other label, and possible by size and parities; all, or a spanning forest."""
     x, y, side = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["side"].to_numpy()
     whole, label, cls, n, role = cell["sketch"].to_pylist(), *(cell[c].to_numpy() for c in ("label", "class", "n", "role"))
     left, right = (np.arange(len(cls)),) * 2 if x == y else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if not len(left) or not len(right) or (label == label[0]).all():
         return np.zeros((0, 2), np.int64)
-    marks, rest = _unary(whole, n)
+    bits = _bits(whole)
+    ones = bits.sum(axis=1)
     ok = (label[left][:, None] != label[right]) & (role[left][:, None] + role[right] < 2)
     if x == y:
         ok &= cls[left][:, None] < cls[right]
     both = n[left][:, None] + n[right]
-    most = np.minimum(rest[left][:, None], rest[right]) + marks[left] @ marks[right].T
-    ok &= most * (100 + percent) >= both * percent
+    apart = ones[left][:, None] + ones[right] - 2 * (bits[left] @ bits[right].T)
+    ok &= apart * (100 + percent) <= both * (100 - percent)
     ok &= np.minimum(n[left][:, None], n[right]) * 100 >= np.maximum(n[left][:, None], n[right]) * percent
-    i, j = np.nonzero(ok)
+    i, j = _forest(np.where(ok, 1 - apart / both, -1.0), label[left], label[right]) if forest and ok.any() else np.nonzero(ok)
     a, b = cls[left[i]], cls[right[j]]
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def _crossing(batches, percent: int):
+def _crossing(batches, percent: int, forest: bool):
     """Pairs of each run of rows of one cell; rows come sorted by cell, and one cell is held at a time."""
     held, last, out, n = [], None, [], 0
 
@@ -360,7 +390,7 @@ def _crossing(batches, percent: int):
         for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             key = tuple(keys[a])
             if key != last and held:
-                out.append(_compared(pa.Table.from_batches(held), percent))
+                out.append(_compared(pa.Table.from_batches(held), percent, forest))
                 n += len(out[-1])
                 held = []
                 if n > 100_000:
@@ -369,11 +399,24 @@ def _crossing(batches, percent: int):
             last = key
             held.append(batch.slice(a, b - a))
     if held:
-        out.append(_compared(pa.Table.from_batches(held), percent))
+        out.append(_compared(pa.Table.from_batches(held), percent, forest))
     if out:
         yield pairs()
 
 
+def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, forest: bool, own_blocks: bool, least: int) -> DataFrame:
+    """Candidate pairs (a, b) between different components of a group of ``least`` members or more, within its blocks or between all of them."""
+    known = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("group", "class", "role", F.coalesce("label", "class").alias("label"))
+    open_ = known.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("role"), F.count("*").alias("size")).where(f"lo != hi AND role = 0 AND size >= {least}").select("group", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = known.join(open_, "group").join(classes.select("class", "n", "sketch"), "class").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
+    # Each pair of blocks of a group is one unit of work, however large the group.
+    other = F.array("block") if own_blocks else F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = F.transform(other, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    grid = dealt.withColumn("cell", F.explode(cells)).select("group", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.when(F.col("block") == F.col("cell.x"), 0).otherwise(1).alias("side"), "class", "role", "label", "n", "sketch")
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grid.repartition(partitions, *CELL).sortWithinPartitions(*CELL).mapInArrow(partial(_crossing, percent=percent, forest=forest), "a bigint, b bigint").distinct()
+
+
 def _set_rows(batches, width: int):
     for part in by_slices(batches, 64):
         yield pa.RecordBatch.from_arrays([part["class"], pa.array([shingles(t, width).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["class", "members"])
@@ -429,25 +472,31 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _verified(best, texts, classes, width, percent)
     labels = stored(components(links), "jaccard-labels")
 
-    # What is still apart: other partners of a least class, and other members of a signature's group.
-    label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("l" + side))
-    apart = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
     members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "shared", "role", "size").repartition("class")
     members = members.groupBy("class", "role", "group", "size").agg(F.sum("shared").alias("shared")).join(classes.select("class", "least0", "least1"), "class")
     # The prefix filter: of a set's signatures in a role, the most frequent may go while a shared one must stay.
     so_far = F.sum("shared").over(Window.partitionBy("class", "role").orderBy(F.desc("size"), "group").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     members = members.withColumn("so_far", so_far).where(F.col("so_far") >= F.when(F.col("role") == 0, F.col("least0")).otherwise(F.col("least1")))
-    members = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("group", "class", "role", F.coalesce("label", "class").alias("label"))
-    members = stored(members, "jaccard-members")
-    open_ = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("role").alias("role"), F.count("*").alias("size")).where("lo != hi AND role = 0").select("group", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(open_, "group").join(classes.select("class", "n", "sketch"), "class").withColumn("block", F.pmod(F.xxhash64("class", F.lit(9)), F.col("blocks")).cast("int"))
-    # Each pair of blocks of a group is one unit of work, however large the group.
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    grid = dealt.withColumn("cell", F.explode(cells)).select("group", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.when(F.col("block") == F.col("cell.x"), 0).otherwise(1).alias("side"), "class", "role", "label", "n", "sketch")
-    crossing = grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *CELL).sortWithinPartitions(*CELL).mapInArrow(partial(_crossing, percent=percent), "a bigint, b bigint").distinct()
-    # Once for each pair, however many groups it meets in: the whole count vectors.
-    crossing = crossing.withColumn("shared", F.lit(0)).join(facts("a"), "a").join(facts("b"), "b").mapInArrow(partial(_filtered, percent=percent), "a bigint, b bigint, shared int").select("a", "b")
-    more = apart.union(crossing).join(best, ["a", "b"], "left_anti")
+    members = stored(members.select("group", "class", "role"), "jaccard-members")
+
+    def possible(crossing: DataFrame) -> DataFrame:
+        """By the whole vectors, once for each pair, however many groups it meets in."""
+        return crossing.withColumn("shared", F.lit(0)).join(facts("a"), "a").join(facts("b"), "b").mapInArrow(partial(_filtered, percent=percent), "a bigint, b bigint, shared int").select("a", "b")
+
+    tried = best
+    largest = members.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    for own_blocks, least in ((True, FOREST_FROM), (False, BLOCK + 1)):
+        if largest < least:
+            continue
+        likely = stored(possible(_crossed(members, labels, classes, percent, True, own_blocks, least)).join(tried, ["a", "b"], "left_anti"), "jaccard-likely")
+        links = links.union(_verified(likely, texts, classes, width, percent))
+        tried = tried.union(likely)
+        labels = stored(components(links), "jaccard-labels")
+
+    # What is still apart: other partners of a least class, and other members of a signature's group.
+    label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("l" + side))
+    apart = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
+    more = apart.union(possible(_crossed(members, labels, classes, percent, False, False, 2))).join(tried, ["a", "b"], "left_anti")
     links = links.union(_verified(more, texts, classes, width, percent))
     labels = components(links)
 
