@@ -3,7 +3,10 @@
 Coarse centroids and the residuals' codebooks are fitted on a bounded sample; every vector is then put
 in its nearest cell and coded. A query visits the cells whose centroids have the largest inner product
 with it. In a cell the candidates are ranked by an asymmetric distance table (query against codebook),
-and the best of them are reranked by the exact inner product in double precision.
+and the best of them are reranked by the exact inner product in double precision. A table score is off by at
+most the query's length times the row's quantisation error: every other row that could by that bound still be
+among the query's best is reranked too. So the visited cells' best are exact, also among vectors nearer to
+each other than the codebooks tell apart.
 
 A cell's vectors are dealt into blocks and its queries into chunks, so no task holds more than one block
 and one chunk, however many vectors are alike. Vectors with the same codes have the same table score: of
@@ -32,6 +35,8 @@ CODES = 64
 TUNE_QUERIES = 128
 BLOCK = 4096
 CHUNK = 1024
+#: Over the rounding of a table score or an inner product, as a share of the lengths' product.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -71,7 +76,8 @@ def fit(sample: np.ndarray, cells: int, parts: int = PARTS, codes: int = CODES,
 def tune(sample: np.ndarray, index: Index, k: int, target: float = TARGET, queries: int = TUNE_QUERIES) -> tuple[float, int]:
     """The smallest share of cells, and the smallest shortlist, that each keep ``target`` of the true best ``k`` in the sample.
 
-    The sample is sparser than the whole, where neighbours are nearer and easier to find.
+    The sample is sparser than the whole, where neighbours are nearer and easier to find. The shortlist decides
+    only how much is reranked before the rest is bounded, not what is found.
     """
     asked = sample[np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)]
     exact = asked @ sample.T
@@ -116,13 +122,12 @@ def _probes(part: pa.RecordBatch, centroids: np.ndarray, probes: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), part["vector"].take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], ["query_id", "query", "cell"])
 
 
-def _distinct_scores(score: np.ndarray, ids: np.ndarray, shortlist: int, same: int) -> np.ndarray:
-    """Rows of the ``shortlist`` best table scores, at most ``same`` of a score, smaller ids first."""
+def _distinct_scores(score: np.ndarray, ids: np.ndarray, same: int) -> np.ndarray:
+    """Rows by falling table score, at most ``same`` of a score, smaller ids first."""
     order = np.lexsort((ids, -score))
     new = np.flatnonzero(np.diff(score[order], prepend=np.inf))
     place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    order = order[place < same]
-    return order[:shortlist]
+    return order[place < same]
 
 
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -138,13 +143,21 @@ def _searched(block: pa.Table, queries: pa.Table, index: Index, k: int, shortlis
     centroid = index.centroids[block["cell"][0].as_py()]
     asked = _matrix(queries["query"].combine_chunks(), dimension)
     parts = len(index.codebooks)
+    rebuilt = centroid + index.codebooks[np.arange(parts)[None, :], codes].reshape(len(ids), -1)
+    error = np.linalg.norm(points - rebuilt, axis=1) + ROUNDING * (np.linalg.norm(points, axis=1) + np.linalg.norm(rebuilt, axis=1))
     out = []
     for query_id, query in zip(queries["query_id"].to_pylist(), asked, strict=True):
         lookup = np.einsum("pcd,pd->pc", index.codebooks, query.reshape(parts, -1))
         score = lookup[np.arange(parts)[None, :], codes].sum(1) + centroid @ query
-        best = _distinct_scores(score, ids, shortlist, k + 1)
-        best = best[ids[best] != query_id]
+        ranked = _distinct_scores(score, ids, k + 1)
+        ranked = ranked[ids[ranked] != query_id]
+        best, rest = ranked[:shortlist], ranked[shortlist:]
         exact = (points[best] * query).sum(1)
+        if len(rest):
+            # What the bound doesn't rule out against the k-th best so far.
+            least = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
+            rest = rest[score[rest] + np.linalg.norm(query) * error[rest] >= least]
+            best, exact = np.append(best, rest), np.append(exact, (points[rest] * query).sum(1))
         top = np.lexsort((ids[best], -exact))[:k]
         out.append((np.full(len(top), query_id), ids[best][top], exact[top]))
     return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=HITS)
@@ -166,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     Scores are sums in double precision of the original components; ties go to the smaller id. Repeated
     rows are candidates each. Fewer candidates give fewer ranks; no usable vector gives no rows. The index
     is fitted on about ``sample_rows`` rows and holds all. ``probed`` (the share of cells visited) and
-    ``shortlist`` (rows of a block reranked) are tuned on that sample where they aren't given.
+    ``shortlist`` (rows of a block reranked before the rest is bounded) are tuned on that sample where they aren't given.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col), "ann-vectors")

@@ -125,6 +125,22 @@ def test_search(spark):
     assert ann.search(df.where("false"), df).count() == 0
 
 
+@pytest.mark.parametrize("sd", [0.001, 0.01])
+def test_search_near_vectors(spark, sd):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + rng.normal(scale=sd, size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id < 2000 AND vec_id % 100 = 7")).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(g.vec_id))
+    assert got.query_id.nunique() == 20 and hits / 400 >= 0.95
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
