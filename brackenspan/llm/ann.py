@@ -9,8 +9,9 @@ among the query's best is reranked too. So the visited cells' best are exact, al
 each other than the codebooks tell apart.
 
 A cell's vectors are dealt into blocks and its queries into chunks, so no task holds more than one block
-and one chunk, however many vectors are alike. Vectors with the same codes have the same table score: of
-each score at most ``k`` + 1 rows (smallest ids first) are needed, so copies can't crowd out others.
+and one chunk, however many vectors are alike. Equal vectors have the same inner product: of each at most
+``k`` + 1 rows (smallest ids first) are needed, so copies can't crowd out others. Different vectors with the same
+codes only share their table score, and all that tie with the shortlist's last are reranked.
 """
 
 from __future__ import annotations
@@ -122,12 +123,15 @@ def _probes(part: pa.RecordBatch, centroids: np.ndarray, probes: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), part["vector"].take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], ["query_id", "query", "cell"])
 
 
-def _distinct_scores(score: np.ndarray, ids: np.ndarray, same: int) -> np.ndarray:
-    """Rows by falling table score, at most ``same`` of a score, smaller ids first."""
-    order = np.lexsort((ids, -score))
-    new = np.flatnonzero(np.diff(score[order], prepend=np.inf))
+def _needed(points: np.ndarray, ids: np.ndarray, same: int) -> np.ndarray:
+    """Rows that can be among a query's best: at most ``same`` of equal vectors, smaller ids first."""
+    points = np.ascontiguousarray(points + 0.0)  # -0.0 and 0.0 are equal
+    digest = points.view(np.dtype((np.void, points.shape[1] * points.itemsize))).ravel()
+    group = np.unique(digest, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, group))
+    new = np.flatnonzero(np.diff(group[order], prepend=-1))
     place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-    return order[place < same]
+    return np.sort(order[place < same])
 
 
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -140,6 +144,9 @@ def _searched(block: pa.Table, queries: pa.Table, index: Index, k: int, shortlis
     ids = block["id"].to_numpy()
     points = _matrix(block["vector"].combine_chunks(), dimension)
     codes = np.frombuffer(b"".join(block["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    # A query's own id drops out, as often as it is repeated.
+    needed = _needed(points, ids, k + int(np.unique(ids, return_counts=True)[1].max()))
+    ids, points, codes = ids[needed], points[needed], codes[needed]
     centroid = index.centroids[block["cell"][0].as_py()]
     asked = _matrix(queries["query"].combine_chunks(), dimension)
     parts = len(index.codebooks)
@@ -149,9 +156,9 @@ def _searched(block: pa.Table, queries: pa.Table, index: Index, k: int, shortlis
     for query_id, query in zip(queries["query_id"].to_pylist(), asked, strict=True):
         lookup = np.einsum("pcd,pd->pc", index.codebooks, query.reshape(parts, -1))
         score = lookup[np.arange(parts)[None, :], codes].sum(1) + centroid @ query
-        ranked = _distinct_scores(score, ids, k + 1)
-        ranked = ranked[ids[ranked] != query_id]
-        best, rest = ranked[:shortlist], ranked[shortlist:]
+        others = np.flatnonzero(ids != query_id)
+        last = np.partition(score[others], -shortlist)[-shortlist] if len(others) > shortlist else -np.inf
+        best, rest = others[score[others] >= last], others[score[others] < last]
         exact = (points[best] * query).sum(1)
         if len(rest):
             # What the bound doesn't rule out against the k-th best so far.

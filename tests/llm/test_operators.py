@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,18 @@ def test_search_near_vectors(spark, sd):
     assert got.query_id.nunique() == 20 and hits / 400 >= 0.95
 
 
+def test_search_same_codes():
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.ones((60, 4))])
+    index = ann.Index(np.zeros((1, 4)), np.zeros((2, 1, 2)))  # one code: all table scores tie
+    block = pa.table({"id": np.arange(len(x)), "vector": list(x), "codes": [bytes(2)] * len(x), "cell": pa.array([0] * len(x), pa.int32())})
+    for q in (0, 200, 310):
+        got = ann._searched(block, pa.table({"query_id": [q], "query": [list(x[q])]}), index, 20, 32).to_pandas()
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        assert list(got.vec_id) == list(np.lexsort((np.arange(len(x)), -score))[:20])
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
