@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brackenspan.llm.common import by_slices, stored, table, text_or_empty
 from brackenspan.llm.components import components
@@ -419,7 +420,14 @@ def _crossed(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
 
 def _set_rows(batches, width: int):
     for part in by_slices(batches, 64):
-        yield pa.RecordBatch.from_arrays([part["class"], pa.array([shingles(t, width).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["class", "members"])
+        sets = [shingles(t, width) for t in part["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "members"])
+
+
+def _with_class(batches, width: int, text_col: str):
+    for part in by_slices(batches, 256):
+        names = pa.array([class_of(shingles(t or "", width)) for t in part[text_col].cast(pa.string()).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*part.columns, names], [*part.schema.names, "_class"])
 
 
 def _similar(batches, percent: int):
@@ -436,10 +444,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
     """The pairs (a, b) whose sets are similar."""
     pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
     wanted = stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "first"), "class"), "jaccard-wanted")
-    # The first row of each class lends its text; a side of this checked size needn't shuffle the texts.
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-    named = texts.join(side, texts["id"].eqNullSafe(side["first"])).select("class", "text")
-    sets = stored(named.mapInArrow(partial(_set_rows, width=width), "class bigint, members binary").dropDuplicates(["class"]), "jaccard-sets")
+    # A row of a class's least id lends its text. Ids may be null or repeat with other texts, so each text tells its
+    # class by content; a side of this checked size needn't shuffle the texts.
+    n, with_id = wanted.agg(F.count("*"), F.count("first")).first()
+    side, names = wanted.select("first").where("first IS NOT NULL").distinct(), wanted.select("class")
+    if n <= BROADCAST_CLASSES:
+        side, names = F.broadcast(side), F.broadcast(names)
+    rows = texts.join(side, texts["id"] == side["first"], "left_semi").select("text")
+    if with_id < n:
+        rows = rows.union(texts.where("id IS NULL").select("text"))
+    sets = stored(rows.mapInArrow(partial(_set_rows, width=width), "class bigint, members binary").dropDuplicates(["class"]).join(names, "class", "left_semi"), "jaccard-sets")
     out = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
     return stored(out.mapInArrow(partial(_similar, percent=percent), "a bigint, b bigint"), "jaccard-links")
 
@@ -452,11 +466,21 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number of copies costs one set. A row with a null id takes part and reports its component's least id
     (null if it has none). Repeated rows are kept. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    described, groups = _grouped(docs, id_col, text_col, width, percent, n2, k2)
+    return _reported(described, groups, id_col)
+
+
+def _reported(described: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    out = described.select("id", "n", "class").join(groups.select("class", "component_id"), "class", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, n2: int = N2, k2: int = K2) -> tuple[DataFrame, DataFrame]:
+    """The rows' ids and classes; and of each class its component's label and least id."""
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     described = stored(texts.mapInArrow(partial(_described, width=width, percent=percent, n2=n2, k2=k2), f"id {kind}, n bigint, class bigint, sketch binary, least0 int, least1 int"), "jaccard-rows")
-    # A class's text is that of its least id; should that id repeat with another text, its class is found by content.
+    # A class's text is that of its least id; should that id repeat with another text, or be null, its class is found by content.
     classes = stored(described.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("sketch", "least0", "least1"))), "jaccard-classes")
 
     total = described.agg(F.sum("n")).first()[0] or 0
@@ -503,9 +527,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     joined = stored(joined, "jaccard-joined")
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stored(joined.join(least, "label").select("class", "component_id"), "jaccard-components")
-    out = described.select("id", "n", "class").join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return described, stored(joined.join(least, "label").select("class", "label", "component_id"), "jaccard-components")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -514,15 +536,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without words are in no group and stay. Of rows that repeat a group's least id, one stays; rows
     with a null id stay only if their group has no id, and then one of them does.
     """
-    found = stored(join_similar(docs, id_col, text_col, **options), "jaccard-groups")
-    twice = found.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).select(id_col)
+    described, groups = _grouped(docs, id_col, text_col, **options)
+    found = stored(_reported(described, groups, id_col), "jaccard-groups")
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
     side = F.broadcast(gone) if gone.count() <= BROADCAST_CLASSES else gone
-    kept = docs.join(side, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    twice = found.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).select(F.col(id_col).alias("_twice"))
     if not twice.head(1):
-        return kept
-    worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(worded).dropDuplicates([id_col]).unionByName(kept.where(~F.coalesce(worded, F.lit(False))))
+        return docs.join(side, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    # Where an id doesn't tell the row, the text does.
+    named, repeated = docs.where(F.col(id_col).isNotNull()), twice.where("_twice IS NOT NULL")
+    once = named.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti").join(side, F.col(id_col) == F.col("_gone"), "left_anti")
+    others = named.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").union(docs.where(F.col(id_col).isNull()))
+    others = others.mapInArrow(partial(_with_class, width=options.get("width", SHINGLE), text_col=text_col), T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    others = others.join(groups.select(F.col("class").alias("_class"), F.col("label").alias("_label"), F.col("component_id").alias("_component")), "_class", "left").select(*docs.columns, "_class", "_label", "_component")
+    least = others.where(F.col("_class").isNotNull() & F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_label"])
+    return once.union(least.union(others.where("_class IS NULL")).drop("_class", "_label", "_component"))
 
 
 def op5_part_enum_join(spark: SparkSession, sf_dir: str) -> DataFrame:

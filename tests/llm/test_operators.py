@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -203,6 +204,27 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.join_similar(odd.where("false")).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = []
+    for ids in ((None, None), (None, 4, None), (7, 7), (7, 3), (7,), (7,), (None,), (None,), (9, 8), (8,), (None, 7, 5)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60 + len(rows))]
+        rows += [(i, " ".join([*base, *(f"n{len(rows)}-{k}" for k in range(at))])) for at, i in enumerate(ids)]
+    rows += [(None, ""), (7, None), (7, rows[0][1]), (None, rows[5][1])]
+    rng.shuffle(rows)
+    facts = brute_components([t for _, t in rows])
+    least = {}
+    for (i, _), (_, c) in zip(rows, facts, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = Counter((i, n, least[c] if n else i) for (i, _), (n, c) in zip(rows, facts, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.join_similar(df).collect())) == want
+    group = {t: c for (_, t), (n, c) in zip(rows, facts, strict=True) if n}
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
+    assert Counter((i, group[t]) for i, t in kept if t) == Counter((least[c], c) for c in set(group.values()))
+    assert Counter(x for x in kept if not x[1]) == Counter([(None, ""), (7, None)])
+
+
 def test_components(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 99), (7, 7), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
