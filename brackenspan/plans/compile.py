@@ -29,6 +29,16 @@ _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b:
 _OPTIONS = re.compile(r"^(options|rename|noExpansion|lenient|strict|excerpt_fields|summary|(most_recent_)?unique(_by_\w+)?|groupby(_\w+)?|sum|min|max|count|average)$")
 
 
+def matched(v: Column, regex, folded: bool = True) -> Column:
+    """Whether the regex matches the whole raw value, or the folded one: without case, over line breaks.
+
+    The start is \\A, as ^ would match at the start of any line.
+    """
+    full = f"(?imsu)\\A(?:{regex})\\z"
+    raw = v.cast("string")
+    return raw.rlike(full) | fold(raw).rlike(full) if folded else raw.rlike(full)
+
+
 class Compiler:
     def __init__(self, schema: T.StructType, model: Model):
         self.schema, self.model, self.options, self.fixed = schema, model, [], set()
@@ -88,7 +98,7 @@ class Compiler:
 
                 test = lambda v: in_cidr(v, value)
             elif op == "=~":
-                test = lambda v, kind=kind: (fold(v.cast("string")).rlike(f"^(?:{str(value).lower()})$") if kind == "text" else v.cast("string").rlike(f"^(?:{value})$"))
+                test = lambda v, kind=kind: matched(v, value, folded=kind == "text")
             elif kind == "text":
                 test = lambda v: _OPS[op](fold(v.cast("string")), F.lit(fold_text(str(value))))
             else:
@@ -148,9 +158,9 @@ class Compiler:
         f = node.name
         if node.space in ("filter", "f"):
             if f in ("includeRegex", "matchRegex", "getAllMatches"):
-                return self.any_value(name, lambda v: v.cast("string").rlike(f"^(?:{rest[0]})$"))
+                return self.any_value(name, lambda v: matched(v, rest[0]))
             if f == "excludeRegex":
-                return ~self.any_value(name, lambda v: v.cast("string").rlike(f"^(?:{rest[0]})$"))
+                return ~self.any_value(name, lambda v: matched(v, rest[0]))
             if f == "includeText":
                 return self.any_value(name, lambda v: v.cast("string") == F.lit(rest[0]))
             if f == "isNull":
@@ -209,7 +219,7 @@ class Compiler:
         if f in ("matchesInGroup", "matchesInGroupLeft"):
             pairs = list(zip(args[0::2], args[1::2], strict=False))
             first, regex = pairs[0]
-            matches = lambda item, r: fold(item["value"].cast("string")).rlike(f"^(?:{str(r).lower()})$")
+            matches = lambda item, r: matched(item["value"], r)
             same = lambda g, n, r: F.exists(F.col(n), lambda o: (o["group"] == g["group"]) & matches(o, r))
             hit = lambda g: self.join([matches(g, regex), *(same(g, n.name, r) for n, r in pairs[1:])], lambda a, b: a & b, True)
             return F.coalesce(F.exists(F.col(first.name), hit), F.lit(False))

@@ -60,6 +60,24 @@ def test_predicates(cities, text, ids):
     assert sorted(r.id for r in found.select("id").collect()) == ids
 
 
+@pytest.mark.parametrize(
+    "text,syntax,ids",
+    [
+        ("note =~ '.*word'", "jexl", [1]),
+        ("note:*word", "lucene", [1]),
+        ("note =~ 'word'", "jexl", []),
+        ("note =~ 'FIRST.*'", "jexl", [1]),
+        (r"note =~ '\S+'", "jexl", [2]),
+        ("note =~ 'é.*'", "jexl", [2]),
+        ("filter:includeRegex(note, 'FIRST.*word')", "jexl", [1]),
+        ("filter:excludeRegex(note, 'FIRST.*word')", "jexl", [2, 3]),
+    ],
+)
+def test_regexes(spark, text, syntax, ids):
+    df = spark.createDataFrame([(1, "First line\nlast\nWord"), (2, "Élan"), (3, None)], "id int, note string")
+    assert sorted(r.id for r in query(df, text, syntax).collect()) == ids
+
+
 def test_groups(spark):
     kind = "array<struct<group:string,value:string>>"
     df = spark.createDataFrame([(1, [("e", "Rome"), ("w", "Oslo")], [("e", "IT"), ("w", "NO")]), (2, [("e", "Rome")], [("w", "IT")])], f"id int, city {kind}, state {kind}")
