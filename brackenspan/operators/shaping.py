@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +47,23 @@ def group_by(df: DataFrame, keys: list[tuple[str, str]], aggregates: list[tuple[
     return df.groupBy(*_key_columns(keys)).agg(*out)
 
 
-def limit_fields(df: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """At most so many values of each named multi-valued field; the count before goes to ``<F>_ORIGINAL_COUNT``."""
+def limit_fields(df: DataFrame, limits: dict[str, int], hits: dict[str, list] | None = None) -> DataFrame:
+    """At most so many values of each named multi-valued field; the count before goes to ``<F>_ORIGINAL_COUNT``.
+
+    Values that pass one of the field's tests in ``hits`` come first and are kept even beyond the limit.
+    """
     for name, n in limits.items():
-        df = df.withColumn(f"{name}_ORIGINAL_COUNT", F.size(name)).withColumn(name, F.slice(name, 1, n))
+        tests = (hits or {}).get(name)
+        df = df.withColumn(f"{name}_ORIGINAL_COUNT", F.size(name)).withColumn(name, _hits_first(name, n, tests) if tests else F.slice(name, 1, n))
     return df
 
 
+def _hits_first(name: str, n: int, tests: list):
+    hit = lambda v: reduce(lambda a, b: a | b, (F.coalesce(t(v), F.lit(False)) for t in tests))
+    first, others = F.filter(name, lambda v: hit(v)), F.filter(name, lambda v: ~hit(v))
+    return F.concat(first, F.slice(others, F.lit(1), F.greatest(F.lit(n) - F.size(first), F.lit(0))))
+
+
 def rename(df: DataFrame, pairs: list[str]) -> DataFrame:
     for old, new in (p.split("=") for text in pairs for p in str(text).split(",")):
         df = df.withColumnRenamed(old.strip(), new.strip())

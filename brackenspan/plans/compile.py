@@ -42,6 +42,7 @@ def matched(v: Column, regex, folded: bool = True) -> Column:
 class Compiler:
     def __init__(self, schema: T.StructType, model: Model):
         self.schema, self.model, self.options, self.fixed = schema, model, [], set()
+        self.negated, self.hits = False, {}
 
     def fields(self, name: str) -> list[str]:
         """Columns a name stands for; an unknown one stands for none."""
@@ -59,9 +60,7 @@ class Compiler:
 
     def any_value(self, name: str, test) -> Column:
         """Whether any of a field's values passes; a scalar is tested in place, so scans can push it down."""
-        one = lambda n: F.exists(F.col(n), lambda v: test(v)) if isinstance(self.schema[n].dataType, T.ArrayType) else test(F.col(n))
-        found = [F.coalesce(one(n), F.lit(False)) for n in self.fields(name)]
-        return self.join(found, lambda a, b: a | b, False)
+        return self.join([self._one(n, test) for n in self.fields(name)], lambda a, b: a | b, False)
 
     @staticmethod
     def join(parts: list[Column], with_, empty: bool) -> Column:
@@ -107,9 +106,18 @@ class Compiler:
         return self.join(parts, lambda a, b: a | b, False)
 
     def _one(self, n: str, test) -> Column:
+        if not self.negated:
+            self.hits.setdefault(n, []).append(test)
         hit = F.exists(F.col(n), lambda v: test(v)) if isinstance(self.schema[n].dataType, T.ArrayType) else test(F.col(n))
         return F.coalesce(hit, F.lit(False))
 
+    def unless(self, make) -> Column | None:
+        """Not what ``make`` gives; values that pass under an odd number of negations are no hits."""
+        self.negated = not self.negated
+        inner = make()
+        self.negated = not self.negated
+        return None if inner is None else ~inner
+
     def predicate(self, node) -> Column | None:
         """The node's column; None for functions that only shape results."""
         if isinstance(node, (And, Or)):
@@ -118,8 +126,7 @@ class Compiler:
                 return None
             return self.join(parts, (lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b), True)
         if isinstance(node, Not):
-            inner = self.predicate(node.part)
-            return None if inner is None else ~inner
+            return self.unless(lambda: self.predicate(node.part))
         if isinstance(node, Constant):
             return F.lit(node.value)
         if isinstance(node, Compare):
@@ -128,7 +135,7 @@ class Compiler:
             if isinstance(node.value, Name):
                 return self.call(Call("filter", "compare", (Name(node.name), node.op, "ANY", node.value)))
             if node.op in ("!=", "!~"):
-                return ~self.term(node.name, "==" if node.op == "!=" else "=~", node.value)
+                return self.unless(lambda: self.term(node.name, "==" if node.op == "!=" else "=~", node.value))
             return self.term(node.name, node.op, node.value)
         if isinstance(node, Method):
             return self.method(node)
@@ -160,7 +167,7 @@ class Compiler:
             if f in ("includeRegex", "matchRegex", "getAllMatches"):
                 return self.any_value(name, lambda v: matched(v, rest[0]))
             if f == "excludeRegex":
-                return ~self.any_value(name, lambda v: matched(v, rest[0]))
+                return self.unless(lambda: self.any_value(name, lambda v: matched(v, rest[0])))
             if f == "includeText":
                 return self.any_value(name, lambda v: v.cast("string") == F.lit(rest[0]))
             if f == "isNull":
@@ -233,7 +240,8 @@ class Compiler:
 def query(documents: DataFrame, text: str, syntax: str = "jexl", model: Model | None = None, fields: list[str] | None = None, limits: dict[str, int] | None = None, max_results: int | None = None) -> DataFrame:
     """The documents a query selects, shaped as its ``f:`` functions and the parameters ask.
 
-    ``fields`` projects, ``limits`` caps the values of multi-valued fields (adding ``<F>_ORIGINAL_COUNT``), and
+    ``fields`` projects, ``limits`` caps the values of multi-valued fields that no term
+    of the query hit (adding ``<F>_ORIGINAL_COUNT``; hits come first and all stay), and
     ``max_results`` stops after so many documents.
     """
     tree = (jexl if syntax == "jexl" else lucene).parse(text)
@@ -241,11 +249,12 @@ def query(documents: DataFrame, text: str, syntax: str = "jexl", model: Model |
     # Options may appear anywhere, and noExpansion changes how terms compile: read them first.
     compiler.predicate(tree)
     compiler.options.clear()
+    compiler.hits.clear()
     where = compiler.predicate(tree)
     out = documents if where is None else documents.where(where)
     out = shaping.apply(out, compiler.options)
     if limits:
-        out = shaping.limit_fields(out, limits)
+        out = shaping.limit_fields(out, limits, compiler.hits)
     if fields:
         out = out.select(*fields)
     return out if max_results is None else out.limit(max_results)

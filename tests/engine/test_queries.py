@@ -78,6 +78,14 @@ def test_regexes(spark, text, syntax, ids):
     assert sorted(r.id for r in query(df, text, syntax).collect()) == ids
 
 
+def test_limits_keep_hits(spark):
+    df = spark.createDataFrame([(1, ["a", "b", None, "Hit", "c", "hit too", "hit"]), (2, ["x", "hit"]), (3, None)], "id int, v array<string>")
+    kept = lambda text, n: {r.id: (r.v_ORIGINAL_COUNT, r.v) for r in query(df, text, limits={"v": n}).collect()}
+    assert kept("v == 'hit'", 3) == {1: (7, ["Hit", "hit", "a"]), 2: (2, ["hit", "x"])}
+    assert kept("v =~ 'hit.*' && !(v == 'a' && v == 'x')", 1) == {1: (7, ["Hit", "hit too", "hit"]), 2: (2, ["hit"])}
+    assert kept("true", 1)[1] == (7, ["a"])
+
+
 def test_groups(spark):
     kind = "array<struct<group:string,value:string>>"
     df = spark.createDataFrame([(1, [("e", "Rome"), ("w", "Oslo")], [("e", "IT"), ("w", "NO")]), (2, [("e", "Rome")], [("w", "IT")])], f"id int, city {kind}, state {kind}")
