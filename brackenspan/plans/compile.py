@@ -26,7 +26,7 @@ class Model:
 
 
 _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
-_OPTIONS = re.compile(r"^(options|rename|noExpansion|lenient|strict|excerpt_fields|summary|(most_recent_)?unique(_by_\w+)?|groupby(_\w+)?|sum|min|max|count|average)$")
+_OPTIONS = re.compile(r"^(rename|noExpansion|excerpt_fields|summary|(most_recent_)?unique(_by_\w+)?|groupby(_\w+)?|sum|min|max|count|average)$")
 
 
 def matched(v: Column, regex, folded: bool = True) -> Column:
@@ -39,6 +39,10 @@ def matched(v: Column, regex, folded: bool = True) -> Column:
     return raw.rlike(full) | fold(raw).rlike(full) if folded else raw.rlike(full)
 
 
+#: Parsed, but not built: better an error than an answer that ignores them.
+_ABSENT = {("f", "options"), ("f", "lenient"), ("f", "strict"), ("grouping", "matchesInGroupLeft"), ("grouping", "getGroupsForMatchesInGroup")}
+
+
 class Compiler:
     def __init__(self, schema: T.StructType, model: Model):
         self.schema, self.model, self.options, self.fixed = schema, model, [], set()
@@ -154,6 +158,8 @@ class Compiler:
         raise QuerySyntaxError(f"no method {node.method}")
 
     def call(self, node: Call) -> Column | None:
+        if (node.space, node.name) in _ABSENT:
+            raise QuerySyntaxError(f"{node.space}:{node.name} is not implemented")
         if node.space == "f" and _OPTIONS.match(node.name):
             args = [a.name if isinstance(a, Name) else a for a in node.args]
             if node.name == "noExpansion":
@@ -223,7 +229,7 @@ class Compiler:
 
     def grouping(self, f: str, args: tuple) -> Column:
         """Fields are arrays of (group, value) structs; all pairs must match within one group."""
-        if f in ("matchesInGroup", "matchesInGroupLeft"):
+        if f == "matchesInGroup":
             pairs = list(zip(args[0::2], args[1::2], strict=False))
             first, regex = pairs[0]
             matches = lambda item, r: matched(item["value"], r)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from brackenspan.functions import types as N
 from brackenspan.operators import tables
 from brackenspan.plans import catalogue
+from brackenspan.plans.ast import QuerySyntaxError
 from brackenspan.plans.compile import Model, query
 from brackenspan.sources.io import flatten
 
@@ -86,6 +87,12 @@ def test_limits_keep_hits(spark):
     assert kept("true", 1)[1] == (7, ["a"])
 
 
+@pytest.mark.parametrize("text,syntax", [("true && f:options('limit.fields', 'city=1')", "jexl"), ("#OPTIONS('limit.fields', 'city=1')", "lucene"), ("true && f:lenient(city)", "jexl"), ("#STRICT(city)", "lucene"), ("grouping:matchesInGroupLeft(city, 'a', note, 'b')", "jexl"), ("#MATCHES_IN_GROUP_LEFT(city, a, note, b)", "lucene")])
+def test_absent_functions_are_errors(cities, text, syntax):
+    with pytest.raises(QuerySyntaxError, match="not implemented"):
+        query(cities, text, syntax)
+
+
 def test_groups(spark):
     kind = "array<struct<group:string,value:string>>"
     df = spark.createDataFrame([(1, [("e", "Rome"), ("w", "Oslo")], [("e", "IT"), ("w", "NO")]), (2, [("e", "Rome")], [("w", "IT")])], f"id int, city {kind}, state {kind}")
