@@ -210,7 +210,8 @@ def fit(sample: DataFrame, lexicon_size: int = LEXICON) -> tuple[Lexicon, Booste
     """The lexicon and the calibrated trees from (id, text, label) rows; without rows every score is low."""
     start = F.substring("text", 1, 48)
     folds = stored(sample.withColumn("start", start).withColumn("fold", F.pmod(F.xxhash64("start", F.lit(5)), F.lit(2)).cast("int")), "toxic-sample")
-    once = folds.dropDuplicates(["start"]).select("text", "label", "fold")
+    # Equal texts of one label teach the lexicon once; an opening that many texts share is no copy.
+    once = folds.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest", "label"]).select("text", "label", "fold")
     names = [f"{n}{f}" for f in (0, 1) for n in ("toxic", "clean")]
     counts = once.mapInArrow(_gram_counts, "gram string, toxic0 bigint, clean0 bigint, toxic1 bigint, clean1 bigint").groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
     counts = stored(counts.where("toxic0 + toxic1 >= 3"), "toxic-grams")

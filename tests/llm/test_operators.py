@@ -287,6 +287,13 @@ def test_toxicity(tables, odd):
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
 
 
+def test_lexicon_behind_one_opening(spark):
+    rows = [(k, "Licensed to all who read this; see the notice at the end. " + ("zorkish " if k % 4 == 0 else "kindly ") + f"line {k}", int(k % 4 == 0)) for k in range(60)]
+    lexicon, _ = toxicity.fit(spark.createDataFrame(rows * 2, "id long, text string, label int"))
+    words = lexicon.strong | lexicon.weak
+    assert "zorkish" in words and "kindly" not in words
+
+
 def test_isotonic_and_trees():
     xs, ys = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
