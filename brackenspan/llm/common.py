@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset a temporary one, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="brackenspan-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,7 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more, before the driver ends."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            discard(path, df.sparkSession)
 
 
 def discard(path: str, spark: SparkSession) -> None:
@@ -54,11 +65,28 @@ def _clean() -> None:
             discard(path, spark)
 
 
-def by_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most ``rows`` rows, so that what is made of one stays small."""
+#: What a batch of rows may hold on its way to a Python worker, and a slice of one while it is worked on; a longer row comes alone.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, which both the JVM and Python hold whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def by_slices(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows`` rows, and of a few rows or one where they are long, so that what is made of one stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, rows)
+            while part.num_rows > 1 and part.nbytes > most_bytes:
+                part = part.slice(0, (part.num_rows + 1) // 2)
+            start += part.num_rows
+            yield part
 
 
 def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512) -> Callable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import stored
+from brackenspan.llm.common import released, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "links")
     before = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        released(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackenspan.llm.common import by_slices, stored, table, text_or_empty
+from brackenspan.llm.common import by_slices, in_small_batches, released, stored, table, text_or_empty
 from brackenspan.llm.components import components
 
 SHINGLE = 5
@@ -46,6 +46,9 @@ LEAST_BUCKETS = 256
 BLOCK = 512
 FOREST_FROM = 8
 BROADCAST_CLASSES = 200_000
+#: What a task of the signatures holds before it passes them on, and how many of its sets it knows again.
+HELD_SIGNATURES = 1_000_000
+SEEN_CLASSES = 200_000
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -243,10 +246,10 @@ def _packed(batches, width: int, percent: int, n2: int, k2: int, bits: int):
         sig_parts.append(sig)
         owner_parts.append((owner + 2 * base).astype(np.int32))
         held += len(sig)
-        if held > 4_000_000:
+        if held > HELD_SIGNATURES:
             yield from flush()
             sig_parts, owner_parts, classes, held = [], [], [], 0
-            if len(seen) > 2_000_000:
+            if len(seen) > SEEN_CLASSES:
                 seen.clear()
     yield from flush()
 
@@ -424,9 +427,9 @@ def _set_rows(batches, width: int):
         yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "members"])
 
 
-def _with_class(batches, width: int, text_col: str):
+def _with_class(batches, width: int):
     for part in by_slices(batches, 256):
-        names = pa.array([class_of(shingles(t or "", width)) for t in part[text_col].cast(pa.string()).to_pylist()], pa.int64())
+        names = pa.array([class_of(shingles(t or "", width)) for t in part["text"].to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([*part.columns, names], [*part.schema.names, "_class"])
 
 
@@ -455,7 +458,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
         rows = rows.union(texts.where("id IS NULL").select("text"))
     sets = stored(rows.mapInArrow(partial(_set_rows, width=width), "class bigint, members binary").dropDuplicates(["class"]).join(names, "class", "left_semi"), "jaccard-sets")
     out = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    return stored(out.mapInArrow(partial(_similar, percent=percent), "a bigint, b bigint"), "jaccard-links")
+    links = stored(out.mapInArrow(partial(_similar, percent=percent), "a bigint, b bigint"), "jaccard-links")
+    released(pairs, wanted, sets)
+    return links
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, n2: int = N2, k2: int = K2) -> DataFrame:
@@ -477,6 +482,7 @@ def _reported(described: DataFrame, groups: DataFrame, id_col: str) -> DataFrame
 
 def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, n2: int = N2, k2: int = K2) -> tuple[DataFrame, DataFrame]:
     """The rows' ids and classes; and of each class its component's label and least id."""
+    in_small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     described = stored(texts.mapInArrow(partial(_described, width=width, percent=percent, n2=n2, k2=k2), f"id {kind}, n bigint, class bigint, sketch binary, least0 int, least1 int"), "jaccard-rows")
@@ -534,9 +540,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay when one of each group of similar texts does: that of the least id.
 
     Texts without words are in no group and stay. Of rows that repeat a group's least id, one stays; rows
-    with a null id stay only if their group has no id, and then one of them does.
+    with a null id stay only if their group has no id, and then one of them does. Other columns may have any name.
     """
-    described, groups = _grouped(docs, id_col, text_col, **options)
+    names = docs.columns
+    kept = _one_of_each(docs.select(F.col(id_col).alias("id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")), text_col, **options)
+    return kept.select("row.*")
+
+
+def _one_of_each(docs: DataFrame, text_col: str, **options) -> DataFrame:
+    """The same of (id, row), the text inside the row."""
+    id_col, text = "id", F.col("row").getField(text_col).cast("string").alias("text")
+    described, groups = _grouped(docs.select("id", text), id_col, "text", **options)
     found = stored(_reported(described, groups, id_col), "jaccard-groups")
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
     side = F.broadcast(gone) if gone.count() <= BROADCAST_CLASSES else gone
@@ -547,7 +561,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named, repeated = docs.where(F.col(id_col).isNotNull()), twice.where("_twice IS NOT NULL")
     once = named.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti").join(side, F.col(id_col) == F.col("_gone"), "left_anti")
     others = named.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").union(docs.where(F.col(id_col).isNull()))
-    others = others.mapInArrow(partial(_with_class, width=options.get("width", SHINGLE), text_col=text_col), T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    others = others.select("id", "row", text)
+    others = others.mapInArrow(partial(_with_class, width=options.get("width", SHINGLE)), T.StructType([*others.schema.fields, T.StructField("_class", T.LongType())])).drop("text")
     others = others.join(groups.select(F.col("class").alias("_class"), F.col("label").alias("_label"), F.col("component_id").alias("_component")), "_class", "left").select(*docs.columns, "_class", "_label", "_component")
     least = others.where(F.col("_class").isNotNull() & F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_label"])
     return once.union(least.union(others.where("_class IS NULL")).drop("_class", "_label", "_component"))
