@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import per_slice, table, text_or_empty, train_fold
+from brackenspan.llm.common import in_small_batches, per_slice, table, text_or_empty, train_fold
 from brackenspan.llm.labelled import FOLD, HELD, labelled_sample
 
 SAMPLE = 10_000
@@ -24,6 +24,8 @@ THRESHOLD = 0.5
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 LAGS = 6
+#: Spellings whose hashes a worker keeps.
+SPELLINGS = 100_000
 
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -77,7 +79,7 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int
 
 def _vectors(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     found = [vector(t, bits) for t in part["text"].to_pylist()]
-    if len(_hashes) > 500_000:
+    if len(_hashes) > SPELLINGS:
         _hashes.clear()
     return pa.RecordBatch.from_arrays([part["label"], pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["label", "index", "value"])
 
@@ -94,7 +96,7 @@ def _score_slice(part: pa.RecordBatch, weights: np.ndarray, bias: float, bits: i
     for text in part["text"].to_pylist():
         index, value = vector(text, bits)
         raw.append(float(weights[index] @ value) + bias)
-    if len(_hashes) > 500_000:
+    if len(_hashes) > SPELLINGS:
         _hashes.clear()
     return pa.RecordBatch.from_arrays([part["id"], pa.array(1 / (1 + np.exp(-np.clip(np.array(raw, dtype=float), -30, 30))))], ["id", "score"])
 
@@ -103,8 +105,10 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     """id, score (0 to 1) and predicted (score >= ``threshold``) for each row of ``docs``.
 
     Only the text decides; null and empty texts have no features and score the bias alone. Null and repeated
-    ids are kept row by row. Other columns are not read. An empty table gives an empty result.
+    ids are kept row by row. Other columns are not read, whatever their names. An empty table gives an empty result.
+    A very long text is read whole, as one row.
     """
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(per_slice(partial(_score_slice, weights=model[0], bias=model[1], bits=bits), 256), f"id {kind}, score double")
@@ -112,7 +116,12 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
 
 
 def drop_poor(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
-    """``docs``, all columns, without the rows whose score is under ``threshold``; a null text counts as empty."""
+    """``docs``, all columns, without the rows whose score is under ``threshold``; a null text counts as empty.
+
+    Each row is judged by its own text, so rows with null or repeated ids stay or go one by one, and equal texts
+    alike. Other columns may have any name. No rows give no rows.
+    """
+    in_small_batches(docs.sparkSession)
     weights, bias = model
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,7 +129,7 @@ def drop_poor(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
         for text in part[text_col].to_pylist():
             index, value = vector(text or "", bits)
             raw.append(float(weights[index] @ value) + bias)
-        if len(_hashes) > 500_000:
+        if len(_hashes) > SPELLINGS:
             _hashes.clear()
         keep = 1 / (1 + np.exp(-np.clip(np.array(raw, dtype=float), -30, 30))) >= threshold
         return part.filter(pa.array(keep))
