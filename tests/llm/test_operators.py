@@ -50,7 +50,7 @@ def test_stitching_random_texts(tokenizer):
         chunk, overlap = rng.randrange(20, 80), rng.randrange(4, 19)
         spans = bpe.chunk_spans(len(text), chunk, overlap)
         ends = [bpe.boundaries(P.PATTERN, text[s:e]) for s, e in spans]
-        cuts = bpe.stitch(spans, [[s + x for x in b if x <= overlap] for (s, _), b in zip(spans, ends)], [[s + x for x in b if x >= chunk] for (s, _), b in zip(spans, ends)])
+        cuts = bpe.stitch(text, spans, [[s + x for x in b if x <= overlap] for (s, _), b in zip(spans, ends)], [[s + x for x in b if x >= chunk] for (s, _), b in zip(spans, ends)], P.PATTERN)
         assert [i for a, b in zip(cuts, cuts[1:]) for i in tokenizer.encode_ordinary(text[a:b])] == tokenizer.encode_ordinary(text)
 
 
