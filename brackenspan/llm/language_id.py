@@ -12,11 +12,12 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import per_slice, table, text_or_empty, train_fold
+from brackenspan.llm.common import in_small_batches, per_slice, table, text_or_empty, train_fold
 
 SAMPLE = 1_000
 DIMENSION = 4096
@@ -79,14 +80,23 @@ def fit_rows(texts: list[str], languages: list[str], centroids: int = CENTROIDS)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE) -> Model:
-    """From about ``rows`` texts of each language of ``docs``, chosen by the hash of the text; empty texts teach nothing."""
+    """From about ``rows`` distinct texts of each language of ``docs``, those of the least hashes; texts without a letter teach nothing.
+
+    Copies of a text count once, and are dropped before anything reaches the driver.
+    """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    at = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 20))
+    n = {r["lang"]: max(r["n"], 1) for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not n:
         return Model([], np.ones(DIMENSION, np.float32), np.zeros((0, DIMENSION), np.float32), np.zeros(0, int), np.zeros(0))
     share = F.element_at(F.create_map(*(F.lit(v) for lang, c in n.items() for v in (lang, min(1.0, rows / c)))), F.col("lang"))
-    some = known.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 20)) < share * F.lit(1 << 20)).toPandas()
-    some = some.drop_duplicates().sort_values(["lang", "text"], kind="stable") if len(some) else known.limit(rows).toPandas()
+    some = known.where(at < share * F.lit(1 << 20)).distinct().toPandas()
+    if not set(n) <= set(some["lang"]):
+        # A language whose few texts all missed the share takes part with those of its least hashes.
+        few = [lang for lang in n if lang not in set(some["lang"])]
+        least = known.where(F.col("lang").isin(few)).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(13)), "text")))
+        some = pd.concat([some, least.where(F.col("nth") <= rows).drop("nth").toPandas()])
+    some = some.sort_values(["lang", "text"], kind="stable")
     return fit_rows(some["text"].tolist(), some["lang"].tolist())
 
 
@@ -112,8 +122,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text, or one without a letter, is ``und`` with score 0. ``rejected`` tells that the text is farther
     from its nearest centroid than nearly all texts of that language; its nearest language is still given.
+    Of languages with equal cosines the first by code point wins. A very long text is read whole, as one row.
     Null and repeated ids are kept row by row; other columns are not read; an empty table gives no rows.
     """
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(per_slice(partial(_predict, model=model), 256), f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
