@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import new_path, per_slice, table, text_or_empty
+from brackenspan.llm.common import by_slices, in_small_batches, new_path, table, text_or_empty
 
 #: How the byte-level pre-tokenizer splits text (fixed value of that format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 1024
+#: Rows by which a task knows repeated ones again before they travel.
+REMEMBERED = 100_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -93,9 +95,35 @@ def counter(path: str):
     return lambda texts: [count(t) for t in texts]
 
 
-def _count_slice(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    n = counter(path)(part["text"].to_pylist())
-    return pa.RecordBatch.from_arrays([part["digest"], pa.array(np.asarray(n, dtype=np.int64))], ["digest", "n_tokens"])
+def _once(batches):
+    """Rows without those whose id and content came before in the same task, as far back as ``REMEMBERED`` rows."""
+    seen: set = set()
+    for part in by_slices(batches, 512):
+        keys = list(zip(part["id"].to_pylist(), part["digest"].to_pylist(), strict=True))
+        new = []
+        for key in keys:
+            new.append(key not in seen)
+            seen.add(key)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield part if all(new) else part.filter(pa.array(new))
+
+
+def _counted(batches, path: str):
+    """Each content's count; rows of one content come one after another, and are encoded once."""
+    last = None
+    for part in by_slices(batches, 512):
+        digests = part["digest"].to_pylist()
+        new = [d != p for d, p in zip(digests, [last, *digests], strict=False)]
+        last = digests[-1]
+        some = part if all(new) else part.filter(pa.array(new))
+        n = counter(path)(some["text"].to_pylist())
+        yield pa.RecordBatch.from_arrays([some["digest"], pa.array(np.asarray(n, dtype=np.int64))], ["digest", "n_tokens"])
+
+
+def repeats(keys: DataFrame) -> bool:
+    """Whether any id and content come twice."""
+    return bool(keys.groupBy("id", "digest").count().where("count > 1").head(1))
 
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
@@ -106,10 +134,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     ``cache_path`` is a Parquet folder that every executor can read; counts of contents it lacks are
     appended to it, so a later call encodes new contents only. None starts from an empty one. A null text
-    counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat; every row is returned. Other columns
-    are not read. An empty table gives an empty result.
+    counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat, also with the same text; every row is returned, and
+    each content is encoded once. Other columns are not read, whatever their names. An empty table gives an empty
+    result. A very long text is encoded whole.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     version = tokenizer_version(tokenizer_path)
     cache_path = cache_path or new_path(spark, "token-counts")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -121,8 +151,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     # One row stands for each content that has no count yet. A null id is its own smallest value.
     missing = keys.groupBy("digest").agg(F.min(F.struct("id")).alias("first")).join(known(), "digest", "left_anti").select("digest", F.col("first.id").alias("id"))
     at = [F.col("t.digest") == F.col("m.digest"), F.col("t.id").eqNullSafe(F.col("m.id"))]
-    misses = rows.alias("t").join(missing.alias("m"), at, "left_semi").select("digest", "text")
-    counted = misses.mapInArrow(per_slice(partial(_count_slice, path=tokenizer_path), 512), "digest binary, n_tokens bigint").dropDuplicates(["digest"])
+    distinct = rows.mapInArrow(_once, rows.schema) if repeats(keys) else rows
+    misses = distinct.alias("t").join(missing.alias("m"), at, "left_semi").select("digest", "text").sortWithinPartitions("digest")
+    counted = misses.mapInArrow(partial(_counted, path=tokenizer_path), "digest binary, n_tokens bigint").dropDuplicates(["digest"])
     counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache_path)
 
     out = keys.join(known(), "digest", "left")
