@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import per_slice, table, text_or_empty
+from brackenspan.llm.common import in_small_batches, per_slice, table, text_or_empty
 
 # Fixed values of the container format.
 CAPTURE = b"OggS"
@@ -142,19 +142,33 @@ def read_ogg(data: bytes) -> dict[int, Stream]:
     return streams
 
 
+def timestamps(streams: dict[int, Stream]) -> list[tuple[int, int, int]]:
+    """(serial, packets complete, milliseconds) at the end of each page that completes a packet, header pages left out.
+
+    A page's granule position is the number of the stream's samples up to there; over the header's rate it is a time.
+    """
+    out = []
+    for serial, stream in sorted(streams.items()):
+        rate = HEAD.unpack(stream.packets[0])[1]
+        out += [(serial, done - 1, granule * 1000 // rate) for done, granule in stream.times if done > 1]
+    return out
+
+
 def unpack(data: bytes) -> tuple[bytes, dict]:
-    """The payload and what the container says of it: pages, packets, streams, duration in milliseconds."""
+    """The payload and what the container says of it: pages, packets, streams, duration and page times in milliseconds."""
     streams = read_ogg(data)
     parts, rate = {}, 1
     for stream in streams.values():
         magic, rate, k, count, samples = HEAD.unpack(stream.packets[0])
         if magic != MAGIC or count != len(streams) or sum(map(len, stream.packets[1:])) != samples or stream.granule != samples:
             raise OggError("a header disagrees with its stream")
+        if any(a[1] > b[1] for a, b in zip(stream.times[:-1], stream.times[1:], strict=True)):
+            raise OggError("granule positions fall")
         parts[k] = stream.packets[1:]
     n = sum(map(len, parts.values()))
     payload = b"".join(parts[k % len(parts)][k // len(parts)] for k in range(n))
     length = max(s.granule for s in streams.values())
-    facts = {"pages": sum(s.pages for s in streams.values()), "packets": n, "streams": len(streams), "samples": sum(s.granule for s in streams.values()), "duration_ms": length * 1000 // rate, "timed_pages": sum(len(s.times) for s in streams.values())}
+    facts = {"pages": sum(s.pages for s in streams.values()), "packets": n, "streams": len(streams), "samples": sum(s.granule for s in streams.values()), "duration_ms": length * 1000 // rate, "timed_pages": sum(len(s.times) for s in streams.values()), "times": timestamps(streams)}
     return payload, facts
 
 
@@ -164,24 +178,29 @@ def _write(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 FACTS = ("pages", "packets", "streams", "samples", "duration_ms", "timed_pages")
+TIMES = "array<struct<stream:bigint,packets:bigint,ms:bigint>>"
+_TIME = pa.list_(pa.struct([("stream", pa.int64()), ("packets", pa.int64()), ("ms", pa.int64())]))
 
 
 def _read(part: pa.RecordBatch) -> pa.RecordBatch:
-    payloads, facts = [], {k: [] for k in FACTS}
+    payloads, times, facts = [], [], {k: [] for k in FACTS}
     for data in part["media"].to_pylist():
         payload, found = unpack(data) if data is not None else (None, {})
         payloads.append(payload)
+        times.append([dict(zip(("stream", "packets", "ms"), t, strict=True)) for t in found["times"]] if found else None)
         for k in FACTS:
             facts[k].append(found.get(k))
-    return pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), *(pa.array(facts[k], pa.int64()) for k in FACTS)], [*part.schema.names, "payload", *FACTS])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), *(pa.array(facts[k], pa.int64()) for k in FACTS), pa.array(times, _TIME)], [*part.schema.names, "payload", *FACTS, "times"])
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and ``media``, an Ogg file whose samples are the text's bytes, padded with zeros.
 
     A null text counts as empty; its payload is 64 zeros. Every row is kept, with null or repeated ids;
-    equal texts have equal media. Other columns are not read. An empty table gives an empty result.
+    equal texts have equal media. Other columns are not read, whatever their names. An empty table gives an empty
+    result. A very long text is one file of many pages.
     """
+    in_small_batches(docs.sparkSession)
     raw = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(raw).cast("bigint").alias("n_bytes"), raw.alias("raw"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -189,16 +208,20 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds ``payload`` and the container's facts; a null file gives nulls, a damaged one an error."""
-    keep = [c for c in media.columns if c != media_col and c not in ("payload", *FACTS)]
+    """Adds ``payload``, the container's facts and ``times``, when each page of each stream ends.
+
+    A null file gives nulls, a damaged one an error. Columns of ``media`` with one of these names give way.
+    """
+    keep = [c for c in media.columns if c != media_col and c not in ("payload", "times", *FACTS)]
     rows = media.select(*keep, F.col(media_col).alias("media"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", payload binary, " + ", ".join(f"{k} bigint" for k in FACTS)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", payload binary, " + ", ".join(f"{k} bigint" for k in FACTS) + f", times {TIMES}"
     return rows.mapInArrow(per_slice(_read, 256), schema)
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(to_media(table(spark, sf_dir, "documents")))
-    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(k)) for k in FACTS))
+    ends = F.array_join(F.transform("times", lambda t: F.concat_ws("/", t["stream"].cast("string"), t["packets"].cast("string"), t["ms"].cast("string"))), ",")
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(k)) for k in FACTS), F.concat(F.lit("times="), F.sha2(ends, 256)))
     return read.select(
         "doc_id",
         "n_bytes",
