@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackenspan.llm.common import by_slices, per_slice, stored, table, text_or_empty, train_fold
+from brackenspan.llm.common import by_slices, in_small_batches, per_slice, stored, table, text_or_empty, train_fold
 from brackenspan.llm.labelled import FOLD, HELD, labelled_sample
 
 SAMPLE = 24_000
@@ -242,8 +242,10 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, Boosted], id_col: str
     """id, score (0 to 1) and predicted (score >= ``threshold``) for each row of ``docs``.
 
     Only the text decides; a null text counts as empty and is scored as one. Null and repeated ids are
-    kept row by row. Other columns are not read. An empty table gives an empty result.
+    kept row by row. Other columns are not read, whatever their names. An empty table gives an empty result.
+    A very long text is read whole, as one row.
     """
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(per_slice(partial(_score_slice, lexicon=model[0], model=model[1]), 256), f"id {kind}, score double")
@@ -251,7 +253,12 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, Boosted], id_col: str
 
 
 def drop_toxic(docs: DataFrame, model: tuple[Lexicon, Boosted], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the rows whose score is at or over ``threshold``; a null text counts as empty."""
+    """``docs``, all columns, without the rows whose score is at or over ``threshold``; a null text counts as empty.
+
+    Each row is judged by its own text, so rows with null or repeated ids stay or go one by one, and equal texts
+    alike. Other columns may have any name. No rows give no rows.
+    """
+    in_small_batches(docs.sparkSession)
     lexicon, trees = model
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
