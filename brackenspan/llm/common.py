@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,14 +81,25 @@ def in_small_batches(spark: SparkSession) -> None:
 
 def by_slices(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``rows`` rows, and of a few rows or one where they are long, so that what is made of one stays small."""
-    for batch in batches:
-        start = 0
-        while start < batch.num_rows:
-            part = batch.slice(start, rows)
-            while part.num_rows > 1 and part.nbytes > most_bytes:
-                part = part.slice(0, (part.num_rows + 1) // 2)
-            start += part.num_rows
-            yield part
+    try:
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                part = batch.slice(start, rows)
+                while part.num_rows > 1 and part.nbytes > most_bytes:
+                    part = part.slice(0, (part.num_rows + 1) // 2)
+                start += part.num_rows
+                yield part
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and what it keeps lies idle beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if name := ctypes.util.find_library("c"):
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(name).malloc_trim(0)
 
 
 def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512) -> Callable:

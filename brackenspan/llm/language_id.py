@@ -90,12 +90,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: i
     if not n:
         return Model([], np.ones(DIMENSION, np.float32), np.zeros((0, DIMENSION), np.float32), np.zeros(0, int), np.zeros(0))
     share = F.element_at(F.create_map(*(F.lit(v) for lang, c in n.items() for v in (lang, min(1.0, rows / c)))), F.col("lang"))
-    some = known.where(at < share * F.lit(1 << 20)).distinct().toPandas()
+    some = known.where(at < share * F.lit(1 << 20)).distinct().toArrow().to_pandas()
     if not set(n) <= set(some["lang"]):
         # A language whose few texts all missed the share takes part with those of its least hashes.
         few = [lang for lang in n if lang not in set(some["lang"])]
         least = known.where(F.col("lang").isin(few)).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(13)), "text")))
-        some = pd.concat([some, least.where(F.col("nth") <= rows).drop("nth").toPandas()])
+        some = pd.concat([some, least.where(F.col("nth") <= rows).drop("nth").toArrow().to_pandas()])
     some = some.sort_values(["lang", "text"], kind="stable")
     return fit_rows(some["text"].tolist(), some["lang"].tolist())
 

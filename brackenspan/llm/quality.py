@@ -86,9 +86,9 @@ def _vectors(part: pa.RecordBatch, bits: int) -> pa.RecordBatch:
 
 def fit(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias from (id, text, label) rows; no rows give no opinion (every score 0.5)."""
-    rows = sample.select("id", "text", "label").mapInArrow(per_slice(partial(_vectors, bits=bits), 64), "label int, index binary, value binary").toPandas()
+    rows = sample.select("id", "text", "label").mapInArrow(per_slice(partial(_vectors, bits=bits), 64), "label int, index binary, value binary").toArrow().to_pandas()
     rows = rows.sort_values(["index", "label"], kind="stable")  # the order of rows is no input
-    return follow_the_leader([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float), y) for i, v, y in zip(rows["index"], rows["value"], rows["label"], strict=True)], bits, epochs)
+    return follow_the_leader([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(rows["index"], rows["value"], rows["label"], strict=True)], bits, epochs)
 
 
 def _score_slice(part: pa.RecordBatch, weights: np.ndarray, bias: float, bits: int) -> pa.RecordBatch:

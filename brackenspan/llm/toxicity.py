@@ -217,7 +217,7 @@ def fit(sample: DataFrame, lexicon_size: int = LEXICON) -> tuple[Lexicon, Booste
     counts = stored(counts.where("toxic0 + toxic1 >= 3"), "toxic-grams")
     crossed = (_lexicon(counts, (1,), lexicon_size), _lexicon(counts, (0,), lexicon_size))
     lexicon = _lexicon(counts, (0, 1), lexicon_size)
-    rows = folds.select("text", "label", "fold").mapInArrow(per_slice(partial(_feature_rows, lexicons=crossed), 64), "fold int, label int, x array<double>").toPandas()
+    rows = folds.select("text", "label", "fold").mapInArrow(per_slice(partial(_feature_rows, lexicons=crossed), 64), "fold int, label int, x array<double>").toArrow().to_pandas()
     if not len(rows):
         return lexicon, Boosted([np.zeros(0)] * len(FIELDS), [], -4.0, np.zeros(0), np.zeros(0))
     x, y, fold = np.stack(rows["x"].to_list()), rows["label"].to_numpy(float), rows["fold"].to_numpy()

@@ -143,13 +143,35 @@ def test_search_near_vectors(spark, sd):
     assert got.query_id.nunique() == 20 and hits / 400 >= 0.95
 
 
+def test_search_tight_clusters(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(200, 16)), 100, axis=0) + rng.normal(scale=1e-3, size=(20_000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 400 = 0")).toPandas()
+    score = x @ x[got.query_id.unique()].T
+    hits = 0
+    for column, (q, g) in enumerate(got.groupby("query_id")):
+        s = score[:, column].copy()
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert got.query_id.nunique() == 50 and hits / 1000 >= 0.95
+
+
+def test_search_visits_a_part(spark):
+    """Clustered vectors: the tuned share is well under 1, measured on rows that were not fitted on."""
+    rng = np.random.default_rng(13)
+    x = np.repeat(rng.normal(size=(100, 16)), 60, axis=0) + rng.normal(scale=0.2, size=(6000, 16))
+    index, share = ann.fitted(x, 150, 20)
+    assert len(index.centroids) == 150 and share <= 0.3
+
+
 def test_search_same_codes():
     rng = np.random.default_rng(10)
     x = np.concatenate([rng.normal(size=(300, 4)), np.ones((60, 4))])
     index = ann.Index(np.zeros((1, 4)), np.zeros((2, 1, 2)))  # one code: all table scores tie
     block = pa.table({"id": np.arange(len(x)), "vector": list(x), "codes": [bytes(2)] * len(x), "cell": pa.array([0] * len(x), pa.int32())})
     for q in (0, 200, 310):
-        got = ann._searched(block, pa.table({"query_id": [q], "query": [list(x[q])]}), index, 20, 32).to_pandas()
+        got = ann._searched(block, pa.table({"query_id": [q], "query": [list(x[q])], "cells": pa.array([[0]], pa.list_(pa.int32()))}), index, 20, 32).to_pandas()
         score = (x * x[q]).sum(1)
         score[q] = -np.inf
         assert list(got.vec_id) == list(np.lexsort((np.arange(len(x)), -score))[:20])
