@@ -189,37 +189,46 @@ def _searched(block: pa.Table, queries: pa.Table, index: Index, k: int, shortlis
     rebuilt = index.centroids[cell] + index.codebooks[np.arange(parts)[None, :], codes].reshape(len(ids), -1)
     error = np.linalg.norm(points - rebuilt, axis=1) + ROUNDING * (np.linalg.norm(points, axis=1) + np.linalg.norm(rebuilt, axis=1))
     query_ids, asked = queries["query_id"].to_numpy(), _matrix(queries["query"].combine_chunks(), dimension)
-    length = np.linalg.norm(asked, axis=1)
+    length, size = np.linalg.norm(asked, axis=1), np.linalg.norm(points, axis=1)
     tables = np.einsum("pcd,qpd->pqc", index.codebooks, asked.reshape(len(asked), parts, -1))
     visits = queries["cells"].combine_chunks()
     visitor, visited = np.repeat(np.arange(len(asked)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
     best = _Best(len(asked), k)
 
-    def rerank(q: np.ndarray, r: np.ndarray) -> None:
-        for at in range(0, len(q), PAIRS):
-            some_q, some_r = q[at : at + PAIRS], r[at : at + PAIRS]
+    def rerank(q: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> None:
+        """Of the wanted pairs of queries and rows, those that by one matrix product can be among the best, summed one by one."""
+        columns = np.flatnonzero(wanted.any(axis=0))
+        if not len(columns):
+            return
+        r, wanted = rows[columns], wanted[:, columns]
+        product = np.where(wanted, asked[q] @ points[r].T, -np.inf)
+        floor = best.least[q]
+        if len(r) > k:
+            floor = np.maximum(floor, np.partition(product, -k, axis=1)[:, -k])
+        # A product is off from the sum by rounding alone.
+        i, j = np.nonzero(wanted & (product >= floor[:, None] - ROUNDING * length[q][:, None] * size[r]))
+        for at in range(0, len(i), PAIRS):
+            some_q, some_r = q[i[at : at + PAIRS]], r[j[at : at + PAIRS]]
             best.add(some_q, ids[some_r], (points[some_r] * asked[some_q]).sum(1))
 
     for c in np.unique(cell):
         rows, who = np.flatnonzero(cell == c), visitor[visited == c]
-        for at in range(0, len(who), max(1, (1 << 20) // len(rows))):
-            q = who[at : at + max(1, (1 << 20) // len(rows))]
+        step = max(1, (1 << 20) // len(rows))
+        for at in range(0, len(who), step):
+            q = who[at : at + step]
             score = np.repeat((asked[q] @ index.centroids[c])[:, None], len(rows), axis=1)
             for p in range(parts):
-                score += tables[p][q][:, codes[rows, p]]
+                score += np.take(tables[p][q], codes[rows, p], axis=1)
             open_ = query_ids[q][:, None] != ids[rows]
             if len(rows) > shortlist:
                 # All that tie with the shortlist's last belong to it.
                 ranked = np.where(open_, score, -np.inf)
                 last = np.partition(ranked, -shortlist, axis=1)[:, -shortlist]
                 first = open_ & (score >= last[:, None])
-                i, j = np.nonzero(first)
-                rerank(q[i], rows[j])
+                rerank(q, rows, first)
                 open_ &= ~first
             # What the bound doesn't rule out against the k-th best so far.
-            open_ &= score + length[q][:, None] * error[rows] >= best.least[q][:, None]
-            i, j = np.nonzero(open_)
-            rerank(q[i], rows[j])
+            rerank(q, rows, open_ & (score + length[q][:, None] * error[rows] >= best.least[q][:, None]))
     return pa.Table.from_arrays([pa.array(query_ids[best.at]), pa.array(best.ids), pa.array(best.score)], schema=HITS)
 
 
