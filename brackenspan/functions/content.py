@@ -18,6 +18,21 @@ def phrase(c: Column, terms: list[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" ")).contains(f" {wanted} ")
 
 
+def phrase_starts(c: Column, terms: list[str]) -> Column:
+    """Places (from 0) at which the terms stand next to each other, in order."""
+    found, wanted = words(c), F.array(*(F.lit(fold_text(t)) for t in terms))
+    last = F.size(found) - F.lit(len(terms))
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(found, i + 1, F.lit(len(terms))) == wanted)).otherwise(F.array().cast("array<int>"))
+
+
+def scored_phrase(c: Column, terms: list[str], scores: Column | None, least: float) -> Column:
+    """A phrase all of whose words score ``least`` or better; scores are negative logs, so lower is better, and 0 is best."""
+    if scores is None:
+        return phrase(c, terms) if least >= 0 else F.lit(False)
+    good = lambda i: F.forall(F.slice(scores, i + 1, F.lit(len(terms))), lambda s: s <= F.lit(least))
+    return F.exists(phrase_starts(c, terms), good)
+
+
 def within(c: Column, terms: list[str], distance: int) -> Column:
     """Each term at a position of its own, the furthest two at most ``distance`` apart, in any order."""
     found = words(c)
@@ -44,5 +59,25 @@ def excerpt(c: Column, term: str, around: int) -> Column:
     return F.when(at > 0, F.array_join(F.slice(found, first, at + F.lit(around) - first + 1), " "))
 
 
+def phrase_excerpts(c: Column, terms: list[str], around: int) -> Column:
+    """The words around every place of a phrase, the phrase itself in square brackets."""
+    found = words(c)
+    size = F.lit(len(terms))
+
+    def one(i: Column) -> Column:
+        first = F.greatest(i - F.lit(around), F.lit(0))
+        before, inside, after = F.slice(found, first + 1, i - first), F.slice(found, i + 1, size), F.slice(found, i + 1 + size, F.lit(around))
+        return F.trim(F.concat_ws(" ", F.array_join(before, " "), F.concat(F.lit("["), F.array_join(inside, " "), F.lit("]")), F.array_join(after, " ")))
+
+    return F.transform(phrase_starts(c, terms), one)
+
+
+def term_offsets(c: Column) -> Column:
+    """Map from each word to its positions."""
+    found = words(c)
+    places = lambda w: F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.element_at(found, i + 1) == w)
+    return F.when(F.size(found) > 0, F.map_from_arrays(F.array_distinct(found), F.transform(F.array_distinct(found), places)))
+
+
 def summary(c: Column, size: int = 150) -> Column:
     return F.substring(F.regexp_replace(c, r"\s+", " "), 1, size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackenspan.functions.content import excerpt, summary
@@ -26,10 +26,19 @@ def _key_columns(keys: list[tuple[str, str]]):
     return [F.col(n).alias(n) if u == "ALL" else granule(F.col(n), u).alias(n if sum(m == n for m, _ in keys) == 1 else f"{n}_{u}") for n, u in keys]
 
 
-def unique(df: DataFrame, keys: list[tuple[str, str]], order: list | None = None) -> DataFrame:
-    """One document for each distinct key: the first in ``order``, or of the least values."""
-    by = Window.partitionBy(*_key_columns(keys)).orderBy(*(order or [F.col(c) for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]))
-    return df.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
+def unique(df: DataFrame, keys: list[tuple[str, str]], latest: str | None = None) -> DataFrame:
+    """One document for each distinct key: that of the latest time, ties and the rest by the least values.
+
+    An aggregate that is begun before the exchange, so a key with any share of the rows is no task's burden.
+    """
+    plain = [F.col(f"`{c}`") for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    row, order = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*plain)
+    named = [k.alias(f"_k{n}") for n, k in enumerate(_key_columns(keys))]
+    if latest:
+        time = -F.unix_micros(F.col(latest).cast("timestamp")) if not df.schema[latest].dataType.simpleString().startswith(("bigint", "int", "double", "float", "decimal")) else -F.col(latest)
+        # Nulls come last.
+        order = F.struct(F.col(latest).isNull(), time, order)
+    return df.groupBy(*named).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def group_by(df: DataFrame, keys: list[tuple[str, str]], aggregates: list[tuple[str, str]]) -> DataFrame:
@@ -47,17 +56,30 @@ def group_by(df: DataFrame, keys: list[tuple[str, str]], aggregates: list[tuple[
     return df.groupBy(*_key_columns(keys)).agg(*out)
 
 
-def limit_fields(df: DataFrame, limits: dict[str, int], hits: dict[str, list] | None = None) -> DataFrame:
+def limit_fields(df: DataFrame, limits: dict[str, int], hits: dict[str, list] | None = None, together: list[list[str]] | None = None) -> DataFrame:
     """At most so many values of each named multi-valued field; the count before goes to ``<F>_ORIGINAL_COUNT``.
 
-    Values that pass one of the field's tests in ``hits`` come first and are kept even beyond the limit.
+    Values that pass one of the field's tests in ``hits`` come first and are kept even beyond the limit, and so do
+    those of the fields of one set in ``together`` that equal a hit of another field of the set.
     """
+    tests_of = {n: list(t) for n, t in (hits or {}).items()}
+    values = {n: F.col(n) for names in together or [] for n in names if n in df.columns}
+    for names in together or []:
+        for name in names:
+            for other in names:
+                if other != name and (hits or {}).get(other) and other in values:
+                    found = F.filter(values[other], _any_of(hits[other]))
+                    tests_of.setdefault(name, []).append(lambda v, found=found: F.array_contains(found, v))
     for name, n in limits.items():
-        tests = (hits or {}).get(name)
+        tests = tests_of.get(name)
         df = df.withColumn(f"{name}_ORIGINAL_COUNT", F.size(name)).withColumn(name, _hits_first(name, n, tests) if tests else F.slice(name, 1, n))
     return df
 
 
+def _any_of(tests: list):
+    return lambda v: reduce(lambda a, b: a | b, (F.coalesce(t(v), F.lit(False)) for t in tests))
+
+
 def _hits_first(name: str, n: int, tests: list):
     hit = lambda v: reduce(lambda a, b: a | b, (F.coalesce(t(v), F.lit(False)) for t in tests))
     first, others = F.filter(name, lambda v: hit(v)), F.filter(name, lambda v: ~hit(v))
@@ -76,11 +98,10 @@ def apply(df: DataFrame, options: list[tuple[str, list]]) -> DataFrame:
     for name, args in options:
         unit = re.sub(r"^(most_recent_)?(unique_by|groupby)_", "", name).upper() if re.search(r"(unique_by|groupby)_", name) else None
         if name.startswith(("unique", "most_recent_unique")):
-            order = None
+            time = None
             if name.startswith("most_recent"):
-                time, args = args[0], args[1:]
-                order = [F.desc(str(time)), *(F.col(c) for c in df.columns)]
-            df = unique(df, parse_keys(args, unit), order)
+                time, args = str(args[0]), args[1:]
+            df = unique(df, parse_keys(args, unit), time)
         elif name.startswith("groupby"):
             keys += parse_keys(args, unit)
         elif name in AGGREGATES:

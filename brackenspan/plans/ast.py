@@ -28,7 +28,9 @@ class Not:
 
 @dataclass(frozen=True)
 class Compare:
-    name: str
+    """``name`` is a field, or a call or method whose result is compared; ``value`` may be a Name or a tuple of values."""
+
+    name: object
     op: str
     value: object
 

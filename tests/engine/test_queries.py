@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from brackenspan.operators import tables
 from brackenspan.plans import catalogue
 from brackenspan.plans.ast import QuerySyntaxError
 from brackenspan.plans.compile import Model, query
+from brackenspan.sources.ingest import normalised
 from brackenspan.sources.io import flatten
 
 SF = "/root/testdata/sf0.001"
@@ -87,21 +90,41 @@ def test_limits_keep_hits(spark):
     assert kept("true", 1)[1] == (7, ["a"])
 
 
-@pytest.mark.parametrize("text,syntax", [("true && f:options('limit.fields', 'city=1')", "jexl"), ("#OPTIONS('limit.fields', 'city=1')", "lucene"), ("true && f:lenient(city)", "jexl"), ("#STRICT(city)", "lucene"), ("grouping:matchesInGroupLeft(city, 'a', note, 'b')", "jexl"), ("#MATCHES_IN_GROUP_LEFT(city, a, note, b)", "lucene")])
-def test_absent_functions_are_errors(cities, text, syntax):
-    with pytest.raises(QuerySyntaxError, match="not implemented"):
-        query(cities, text, syntax)
-
-
 def test_groups(spark):
     kind = "array<struct<group:string,value:string>>"
     df = spark.createDataFrame([(1, [("e", "Rome"), ("w", "Oslo")], [("e", "IT"), ("w", "NO")]), (2, [("e", "Rome")], [("w", "IT")])], f"id int, city {kind}, state {kind}")
     assert [r.id for r in query(df, "grouping:matchesInGroup(city, 'rome', state, 'it')").collect()] == [1]
 
 
-def test_filters_reach_the_scan(spark):
-    plan = query(spark.read.parquet(f"{SF}/orders.parquet"), "o_totalprice > 1000", fields=["o_orderkey"])._jdf.queryExecution().toString()
-    assert "o_totalprice" in plan.split("PushedFilters")[1] and "o_orderpriority" not in plan.split("ReadSchema")[1]
+def pushed(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    return re.search(r"PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>", df._jdf.queryExecution().executedPlan().toString()).groups()
+
+
+@pytest.mark.parametrize(
+    "table,text,syntax,wanted",
+    [
+        ("orders", "o_totalprice > 1000", "jexl", "GreaterThan(o_totalprice,1000.0)"),
+        ("orders", "o_custkey == 7 || 9 == o_custkey", "jexl", "Or(EqualTo(o_custkey,7),EqualTo(o_custkey,9))"),
+        ("orders", "o_custkey != 7", "jexl", "Or(IsNull(o_custkey),Not(EqualTo(o_custkey,7)))"),
+        ("orders", "o_orderdate > '1997-01-01'", "jexl", "GreaterThan(o_orderdate,1997-01-01"),
+        ("orders", "filter:betweenDates(o_orderdate, '1995-01-01', '1995-06-30')", "jexl", "LessThanOrEqual(o_orderdate,1995-06-30"),
+        ("lineitem", "l_quantity:[10 TO 12]", "lucene", "GreaterThanOrEqual(l_quantity,10.0)"),
+        ("lineitem", "f:between(l_quantity, 10, 12)", "jexl", "LessThanOrEqual(l_quantity,12.0)"),
+    ],
+)
+def test_filters_reach_the_scan(spark, table, text, syntax, wanted):
+    filters, schema = pushed(query(spark.read.parquet(f"{SF}/{table}.parquet"), text, syntax, fields=[text.split()[0]] if text.startswith("o_totalprice") else None))
+    assert wanted in filters
+    if text.startswith("o_totalprice"):
+        assert "o_orderpriority" not in schema
+
+
+def test_normalised_text_reaches_the_scan(spark, tmp_path):
+    normalised(spark.read.parquet(f"{SF}/events.parquet"), ["event_type"]).write.parquet(str(tmp_path / "n"))
+    df = query(spark.read.parquet(str(tmp_path / "n")), "event_type == 'CLICK'")
+    assert "EqualTo(event_type__norm,click)" in pushed(df)[0]
+    assert df.count() == spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'click'").count()
 
 
 def test_normal_forms(spark):
