@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackenspan.functions import types as N
-from brackenspan.operators import shaping, tables
-from brackenspan.plans.compile import Model, query
+from brackenspan.operators import combine, index, logics, tables
+from brackenspan.plans.compile import Model, count, query
+from brackenspan.sources import ingest
+from brackenspan.sources.io import flatten_json
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,18 +40,17 @@ _search("event_not_equal", "events", "event_type != 'click' and user_id ge 50",
 _search("event_regex", "events", "event_type =~ 'p.*'", _E, "SELECT event_id, user_id, event_type FROM events WHERE regexp_full_match(event_type, 'p.*')")
 _search("lucene_wildcard", "part", "p_name:*a* NOT p_size:[1 TO 20]", ["p_partkey"], "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND NOT p_size BETWEEN 1 AND 20", "lucene")
 _search("lucene_open_range", "orders", "o_totalprice:{100000 TO *]", ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000", "lucene")
-_search("unfielded_term", "nation", "FRANCE", ["n_nationkey", "n_name"], "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = 'france'", "lucene", Model(searched=("n_name",)))
+_search("unfielded_term", "nation", "nation_7 OR NATION_12", ["n_nationkey", "n_name"], "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) IN ('nation_7', 'nation_12')", "lucene", Model(searched=("n_name",)))
 _search("model_alias", "customer", "BALANCE > 9000", ["c_custkey"], "SELECT c_custkey FROM customer WHERE c_acctbal > 9000", "jexl", Model(aliases={"BALANCE": ("c_acctbal",)}))
 _search("filter_include_regex", "orders", "filter:includeRegex(o_orderpriority, '[12]-.*')", ["o_orderkey", "o_orderpriority"], "SELECT o_orderkey, o_orderpriority FROM orders WHERE regexp_full_match(o_orderpriority, '[12]-.*')")
 _search("filter_exclude_regex", "orders", "filter:excludeRegex(o_orderpriority, '[12]-.*')", ["o_orderkey", "o_orderpriority"], "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT coalesce(regexp_full_match(o_orderpriority, '[12]-.*'), false)")
 _search("filter_between_dates", "orders", "filter:betweenDates(o_orderdate, '1995-01-01', '1995-06-30')", ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'")
 _search("filter_after_date", "orders", "#DATE(o_orderdate, after, 1997-01-01)", ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01'", "lucene")
 _search("filter_before_date", "orders", "filter:beforeDate(o_orderdate, '1996-01-01')", ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'")
-_search("filter_not_null", "documents", "#ISNOTNULL(lang) AND #ISNOTNULL(text)", ["doc_id"], "SELECT doc_id FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL", "lucene")
 _search("filter_compare_fields", "lineitem", "filter:compare(l_discount, '>', 'ANY', l_tax)", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > l_tax")
 _search("filter_at_least", "lineitem", "filter:matchesAtLeastCountOf(1, l_returnflag, 'A', 'R')", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'R')")
-_search("text_length", "part", "f:length(p_name, 1, 12)", ["p_partkey"], "SELECT p_partkey FROM part WHERE length(p_name) BETWEEN 1 AND 12")
-_search("include_text", "nation", "f:includeText(n_name, 'FRANCE')", ["n_nationkey"], "SELECT n_nationkey FROM nation WHERE n_name = 'FRANCE'")
+_search("text_length", "part", "f:length(p_name, 8, 9)", ["p_partkey"], "SELECT p_partkey FROM part WHERE length(p_name) BETWEEN 8 AND 9")
+_search("include_text", "nation", "f:includeText(n_name, 'NATION_7') || f:includeText(n_name, 'nation_8')", ["n_nationkey"], "SELECT n_nationkey FROM nation WHERE n_name IN ('NATION_7', 'nation_8')")
 _search("number_between", "lineitem", "f:between(l_quantity, 10, 12)", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
 _WORDS = "list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _search("content_phrase", "documents", 'text:"of the"', ["doc_id"], f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' of the ')", "lucene")
@@ -126,9 +127,13 @@ def _statistics(spark, sf_dir):
     return tables.field_statistics(tables.long_view(_table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"]))
 
 
-@_register("edge_table", "SELECT user_id::VARCHAR AS source, event_type AS sink, 'did' AS type, strftime(ts, '%Y-%m-%d') AS date, count(*) AS count FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")
+_HOURS = "concat_ws(','" + "".join(f", count(*) FILTER (hour(ts) = {h})" for h in range(24)) + ")"
+
+
+@_register("edge_table", f"SELECT user_id::VARCHAR AS source, event_type AS sink, 'did' AS type, strftime(ts, '%Y-%m-%d') AS date, count(*) AS count, {_HOURS} AS hours FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, event_type, strftime(ts, '%Y-%m-%d')")
 def _edges(spark, sf_dir):
-    return tables.edges(_table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_type"), F.lit("did"), F.col("ts")).drop("hours").withColumn("date", F.col("date").cast("string"))
+    out = tables.edges(_table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_type"), F.lit("did"), F.col("ts"))
+    return out.withColumns({"date": F.col("date").cast("string"), "hours": F.array_join(F.col("hours").cast("array<string>"), ",")})
 
 
 @_register("edge_lookup", "SELECT user_id::VARCHAR AS source, event_type AS sink, count(*) AS count FROM events WHERE user_id IN (1, 2, 3) GROUP BY ALL")
@@ -145,9 +150,358 @@ def _age_off(spark, sf_dir):
 
 @_register("count_query", "SELECT count(*) AS count FROM events WHERE event_type = 'click'")
 def _count(spark, sf_dir):
-    return query(_table(spark, sf_dir, "events"), "event_type:click", "lucene").agg(F.count("*").alias("count"))
+    return count(_table(spark, sf_dir, "events"), "event_type:click", "lucene")
 
 
-@_register("normal_forms", "SELECT n_nationkey, lower(n_name) AS folded, regexp_replace('00' || n_nationkey, '^0+', '') AS digits FROM nation")
+@_register(
+    "normal_forms",
+    "SELECT c_custkey, lower(c_name) AS folded, regexp_replace('00' || c_custkey, '^0+', '') AS digits, lower(printf('%04x', c_custkey)) AS hex, c_custkey % 256 + 167772160 AS ip, '010.000.000.' || lpad((c_custkey % 256)::VARCHAR, 3, '0') AS padded, '2001:0db8:0000:0000:0000:0000:0000:' || lower(printf('%04x', c_custkey)) AS ipv6, '00:1a:2b:00:' || lower(substr(printf('%04x', c_custkey), 1, 2)) || ':' || lower(substr(printf('%04x', c_custkey), 3, 2)) AS mac, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS flag, c_acctbal AS number, CASE WHEN c_custkey <= 90 THEN c_custkey::DOUBLE END AS latitude, strftime(DATE '2020-01-01' + (c_custkey % 365)::INTEGER, '%Y-%m-%d') AS date FROM customer",
+)
 def _normal(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").select("n_nationkey", N.fold(F.col("n_name")).alias("folded"), N.trim_zeros(F.concat(F.lit("00"), F.col("n_nationkey").cast("string"))).alias("digits"))
+    key, four = F.col("c_custkey"), F.lower(F.lpad(F.hex("c_custkey"), 4, "0"))
+    low = (key % 256).cast("string")
+    pairs = F.concat_ws("-", F.lit("00-1A-2B-00"), F.substring(four, 1, 2), F.substring(four, 3, 2))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (key % 365).cast("int"))
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        N.fold(F.col("c_name")).alias("folded"),
+        N.trim_zeros(F.concat(F.lit("00"), key.cast("string"))).alias("digits"),
+        N.hex_text(F.concat(F.lit("0x"), F.upper(four))).alias("hex"),
+        N.ipv4(F.concat(F.lit("10.0.0."), low)).alias("ip"),
+        N.ipv4_padded(F.concat(F.lit("10.0.0."), low)).alias("padded"),
+        N.ipv6(F.concat(F.lit("2001:DB8::"), four)).alias("ipv6"),
+        N.mac(pairs).alias("mac"),
+        N.boolean(F.when(key % 2 == 0, "Yes").otherwise("F")).alias("flag"),
+        N.number(F.col("c_acctbal").cast("string")).alias("number"),
+        N.latitude(key.cast("string")).alias("latitude"),
+        F.date_format(N.date(F.date_format(day, "yyyyMMdd")), "yyyy-MM-dd").alias("date"),
+    )
+
+
+# Expressions as users write them.
+_O = ["o_orderkey"]
+_search("jexl_joined_fields", "orders", "filter:includeRegex(o_orderstatus||o_orderpriority, 'f|1-.*')", _O, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '1-%'")
+_search("jexl_reversed", "orders", "1000 < o_totalprice && 'P' == o_orderstatus", _O, "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'P'")
+_search("jexl_list", "orders", "o_orderstatus =~ ['f', 'P'] && o_custkey !~ ['7', '8']", _O, "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey NOT IN (7, 8)")
+_search("jexl_starts_and_ends", "part", "p_name =^ 'red' || p_name =$ 'bolt'", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%bolt'")
+_search("jexl_double_negation", "orders", "!(!(o_totalprice > 200000) || o_orderstatus == 'f')", _O, "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'")
+_search("max_time", "orders", "filter:getMaxTime(o_orderdate) >= '1998-01-01'", _O, "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+_search("min_time", "orders", "filter:getMinTime(o_orderdate) < 820454400000", _O, "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'")
+_search("date_units", "orders", "filter:betweenDates(o_orderdate, '1996-02', '1996-03')", _O, "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-02-01' AND o_orderdate < TIMESTAMP '1996-04-01'")
+_search("string_between", "customer", "f:between(c_mktsegment, 'b', 'g')", ["c_custkey"], "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) BETWEEN 'b' AND 'g'")
+_search("match_regex", "part", "f:matchRegex(p_brand, 'brand#1.?')", ["p_partkey"], "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#1.?')")
+_search("all_matches", "part", "filter:getAllMatches(p_brand, '.*#(7|9)')", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#7', 'Brand#9')")
+_search("regex_upper_escape", "part", r"p_brand =~ '\\D+1\\d'", ["p_partkey"], r"SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, '\D+1\d')")
+_search("no_expansion", "customer", "c_nationkey == 3 && f:noExpansion('c_nationkey')", ["c_custkey"], "SELECT c_custkey FROM customer WHERE c_nationkey = 3", "jexl", Model(aliases={"c_nationkey": ("c_custkey", "c_nationkey")}))
+_search("lenient_field", "customer", "c_name == 'customer#000000007' && f:lenient('c_name')", ["c_custkey"], "SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000007'", "jexl", Model(types={"c_name": "number"}))
+_search("lucene_include_or", "part", "#INCLUDE(OR, p_name, red.*, p_type, small)", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_name LIKE 'red%' OR lower(p_type) = 'small'", "lucene")
+_search("lucene_exclude", "part", "#EXCLUDE(p_name, red.*)", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_name NOT LIKE 'red%'", "lucene")
+_search("lucene_regex", "part", "p_type:/e.*y/", ["p_partkey"], "SELECT p_partkey FROM part WHERE regexp_full_match(lower(p_type), 'e.*y')", "lucene")
+_search("lucene_compare", "lineitem", "#COMPARE(l_discount, <=, ANY, l_tax)", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount <= l_tax", "lucene")
+_search("lucene_jexl", "orders", "#JEXL('o_custkey > 500') AND o_orderstatus:f", _O, "SELECT o_orderkey FROM orders WHERE o_custkey > 500 AND o_orderstatus = 'F'", "lucene")
+_search("lucene_boost_and_quotes", "orders", "o_orderstatus:f^3 AND o_orderpriority:“1-urgent”", _O, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'", "lucene")
+_search("content_phrase_offsets", "documents", "content:phrase(text, termOffsetMap, 'of', 'the')", ["doc_id"], f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' of the ')")
+_search("content_adjacent", "documents", "content:adjacent(text, termOffsetMap, 'the', 'of')", ["doc_id"], f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' the of ')")
+
+
+@_register("filter_not_null", "SELECT doc_id FROM documents WHERE lang <> 'en' AND n_chars > 300")
+def _not_null(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumns({"lang": F.when(F.col("lang") != "en", F.col("lang")), "n_chars": F.when(F.col("n_chars") > 300, F.col("n_chars"))})
+    return query(docs, "#ISNOTNULL(lang) AND #ISNOTNULL(n_chars)", "lucene").select("doc_id")
+
+
+@_register("filter_null", "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars <= 300")
+def _null(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumns({"lang": F.when(F.col("lang") != "en", F.col("lang")), "n_chars": F.when(F.col("n_chars") > 300, F.col("n_chars"))})
+    return query(docs, "filter:isNull(lang||n_chars)").select("doc_id")
+
+
+@_register("time_difference", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE epoch_ms(l_shipdate) - epoch_ms(o_orderdate) > 5184000000")
+def _time_difference(spark, sf_dir):
+    both = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return query(both, "filter:timeFunction(l_shipdate, o_orderdate, '-', '>', 5184000000)").select("l_orderkey", "l_linenumber")
+
+
+def _grouped_orders(spark, sf_dir) -> DataFrame:
+    """Orders with their lines' flags and quantities under grouping contexts."""
+    pair = lambda c: F.collect_list(F.struct(F.concat(F.lit("line."), F.col("l_linenumber").cast("string")).alias("group"), F.col(c).cast("string").alias("value")))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pair("l_returnflag").alias("flag"), pair("l_linestatus").alias("status"))
+
+
+@_register("matches_in_group", "SELECT DISTINCT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_returnflag = 'A' AND b.l_linestatus = 'O'")
+def _in_group(spark, sf_dir):
+    return query(_grouped_orders(spark, sf_dir), "grouping:matchesInGroup(flag, 'a', status, 'o')").select("l_orderkey")
+
+
+@_register("matches_in_group_left", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'A') AND bool_or(l_linestatus = 'O')")
+def _in_group_left(spark, sf_dir):
+    return query(_grouped_orders(spark, sf_dir), "#MATCHES_IN_GROUP_LEFT(flag, a, status, o)", "lucene").select("l_orderkey")
+
+
+@_register("values_for_groups", "SELECT DISTINCT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_returnflag = 'R' AND b.l_linestatus = 'F'")
+def _values_for_groups(spark, sf_dir):
+    return query(_grouped_orders(spark, sf_dir), "status.getValuesForGroups(grouping:getGroupsForMatchesInGroup(flag, 'r')) == 'f'").select("l_orderkey")
+
+
+@_register("value_for_group", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'N'")
+def _value_for_group(spark, sf_dir):
+    return query(_grouped_orders(spark, sf_dir), "flag.getValueForGroup('line.2') == 'n'").select("l_orderkey")
+
+
+@_register("groups_for_value", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3 AND l_returnflag = 'R'")
+def _groups_for_value(spark, sf_dir):
+    return query(_grouped_orders(spark, sf_dir), "flag.getGroupsForValue('r') == 'line.3'").select("l_orderkey")
+
+
+@_register("method_contains", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity = 17) AND min(l_quantity) < 10")
+def _method_contains(spark, sf_dir):
+    return query(_orders_with_flags(spark, sf_dir), "quantities.contains(17) && quantities.lessThan(10)").select("l_orderkey")
+
+
+@_register("method_minimum", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING min(l_quantity) >= 20 OR max(l_quantity) > 49")
+def _method_minimum(spark, sf_dir):
+    return query(_orders_with_flags(spark, sf_dir), "quantities.min() >= 20 || quantities.compareWith(49, '>')").select("l_orderkey")
+
+
+@_register("hit_list", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus = 'F' THEN 'o_orderstatus:F' END, CASE WHEN o_custkey < 300 THEN 'o_custkey:' || o_custkey END) AS hits FROM orders WHERE o_orderstatus = 'F' OR o_custkey < 300")
+def _hits(spark, sf_dir):
+    out = query(_table(spark, sf_dir, "orders"), "o_orderstatus == 'f' || o_custkey < 300", parameters={"hit.list": "true"})
+    return out.select("o_orderkey", F.array_join("HIT_TERM", ",").alias("hits"))
+
+
+@_register("limit_keeps_hits", "SELECT l_orderkey, count(*)::INTEGER AS original, greatest(least(count(*), 1), count(*) FILTER (l_quantity > 40))::INTEGER AS kept FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 40)")
+def _limit_keeps_hits(spark, sf_dir):
+    out = query(_orders_with_flags(spark, sf_dir), "quantities > 40", parameters={"limit.fields": "quantities=1"})
+    return out.select("l_orderkey", F.col("quantities_ORIGINAL_COUNT").alias("original"), F.size("quantities").alias("kept"))
+
+
+@_register("parameters_group", "SELECT o_orderstatus, count(*) AS \"COUNT\", avg(o_totalprice) AS \"o_totalprice_AVERAGE\", count(o_custkey) AS \"o_custkey_COUNT\", sum(o_totalprice) AS \"o_totalprice_SUM\" FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL")
+def _parameters_group(spark, sf_dir):
+    return query(_table(spark, sf_dir, "orders"), "true", parameters={"date.field": "o_orderdate", "begin.date": "1996", "end.date": "1997", "group.fields": "o_orderstatus", "average.fields": "o_totalprice", "count.fields": "o_custkey", "sum.fields": "o_totalprice"})
+
+
+@_register("parameters_projection", "SELECT o_orderkey AS id, o_orderkey::VARCHAR AS \"RECORD_ID\", o_orderstatus AS \"EVENT_DATATYPE\" FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey > 100")
+def _parameters_projection(spark, sf_dir):
+    given = {"datatype.filter.set": "F,P", "datatype.field": "o_orderstatus", "include.datatype.as.field": "true", "include.record.id": "true", "record.id": "o_orderkey", "rename.fields": "o_orderkey=id", "return.fields": "id"}
+    return query(_table(spark, sf_dir, "orders"), "o_custkey > 100", parameters=given)
+
+
+@_register("options_in_query", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_custkey < 500")
+def _options(spark, sf_dir):
+    return query(_table(spark, sf_dir, "orders"), "o_custkey < 500 && f:options('unique.fields', 'o_orderstatus,o_orderpriority', 'return.fields', 'o_orderstatus,o_orderpriority')")
+
+
+_LAYOUTS = {"YEAR": "%Y", "MONTH": "%Y-%m", "HOUR": "%Y-%m-%dT%H", "MINUTE": "%Y-%m-%dT%H:%M", "SECOND": "%Y-%m-%dT%H:%M:%S"}
+for _unit, _layout in _LAYOUTS.items():
+    _register(f"groupby_{_unit.lower()}", f"SELECT strftime(ts, '{_layout}') AS ts, count(*) AS \"COUNT\" FROM events GROUP BY ALL")(lambda spark, sf_dir, u=_unit: query(_table(spark, sf_dir, "events"), f"#GROUPBY_{u}(ts)", "lucene"))
+    _register(f"unique_by_{_unit.lower()}", f"SELECT count(DISTINCT strftime(ts, '{_layout}')) AS n FROM events")(lambda spark, sf_dir, u=_unit: query(_table(spark, sf_dir, "events"), f"#UNIQUE_BY_{u}(ts)", "lucene").agg(F.count("*").alias("n")))
+    _register(f"most_recent_by_{_unit.lower()}", f"SELECT max(ts) AS ts FROM events GROUP BY strftime(ts, '{_layout}')")(lambda spark, sf_dir, u=_unit: query(_table(spark, sf_dir, "events"), f"#MOST_RECENT_UNIQUE_BY_{u}(ts, ts)", "lucene").select("ts"))
+
+
+@_register("groupby_average", "SELECT event_type, count(*) AS \"COUNT\", avg(value) AS \"value_AVERAGE\", count(value) AS \"value_COUNT\", min(value) AS \"value_MIN\" FROM events GROUP BY ALL")
+def _groupby_average(spark, sf_dir):
+    return query(_table(spark, sf_dir, "events"), "#GROUPBY(event_type) AND #AVERAGE(value) AND #COUNT(value) AND #MIN(value)", "lucene")
+
+
+@_register("summary", "SELECT doc_id, substr(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), 1, 40) AS \"text_SUMMARY\" FROM documents")
+def _summary(spark, sf_dir):
+    return query(_table(spark, sf_dir, "documents"), "true && f:summary('text', 40)").select("doc_id", "text_SUMMARY")
+
+
+@_register("excerpt", f"SELECT doc_id, array_to_string(w[greatest(p - 2, 1):p + 2], ' ') AS \"text_EXCERPT\" FROM (SELECT doc_id, {_WORDS} AS w, list_position({_WORDS}, 'the') AS p FROM documents) WHERE p > 0")
+def _excerpt(spark, sf_dir):
+    return query(_table(spark, sf_dir, "documents"), "content:phrase(text, 'the') && f:excerpt_fields('text=the/2')").select("doc_id", "text_EXCERPT")
+
+
+# Queries built of queries.
+@_register("lookup", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (3, 5, 900) OR o_custkey = 7")
+def _lookup(spark, sf_dir):
+    return logics.lookup(_table(spark, sf_dir, "orders"), "o_orderkey:3 OR o_orderkey:5 OR o_orderkey:900 OR o_custkey:7", {"o_orderkey", "o_custkey"}).select("o_orderkey")
+
+
+@_register("chained_query", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+def _chained(spark, sf_dir):
+    rich = query(_table(spark, sf_dir, "customer"), "c_acctbal > 9000")
+    return logics.chained(rich, _table(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}, ["o_orderkey"])
+
+
+@_register("edge_events", "SELECT event_id FROM events WHERE user_id = 3 AND event_type = 'click'")
+def _edge_events(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    table = tables.edges(events, F.col("user_id"), F.col("event_type"), F.lit("did"), F.col("ts")).where("source = '3' AND sink = 'click'")
+    return logics.edge_events(table, events, "user_id", "event_type").select("event_id")
+
+
+@_register("composite_query", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 400000 THEN 'dear' END, CASE WHEN o_orderstatus = 'P' THEN 'open' END) AS logics FROM orders WHERE o_totalprice > 400000 OR o_orderstatus = 'P'")
+def _composite(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    found = logics.composite({"dear": query(orders, "o_totalprice > 400000"), "open": query(orders, "o_orderstatus == 'p'")}, "o_orderkey")
+    return found.select("o_orderkey", F.array_join("logics", ",").alias("logics"))
+
+
+@_register("partitioned_query", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31' OR o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-02-28')")
+def _partitioned(spark, sf_dir):
+    return logics.by_date(_table(spark, sf_dir, "orders"), "o_orderdate", [("1995-01-01", "1995-03-31"), ("1997-01-01", "1997-02-28")], lambda d: query(d, "o_orderstatus == 'f'")).select("o_orderkey")
+
+
+@_register("paged_results", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 + 1)::BIGINT AS page, ((row_number() OVER (ORDER BY o_orderkey) - 1) % 100)::BIGINT AS row FROM orders WHERE o_orderstatus = 'P'")
+def _paged(spark, sf_dir):
+    return logics.pages(query(_table(spark, sf_dir, "orders"), "o_orderstatus == 'p'").select("o_orderkey"), ["o_orderkey"], 100)
+
+
+def _families(spark, sf_dir) -> DataFrame:
+    """Nations under regions, customers under nations."""
+    nation, customer = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    top = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("uid"), F.lit("region").alias("kind"), F.lit(None).cast("string").alias("segment"))
+    one = nation.select(F.concat_ws(".", "n_regionkey", "n_nationkey").alias("uid"), F.lit("nation").alias("kind"), F.lit(None).cast("string").alias("segment"))
+    two = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws(".", "n_regionkey", "n_nationkey", "c_custkey").alias("uid"), F.lit("customer").alias("kind"), F.col("c_mktsegment").alias("segment"))
+    return top.unionByName(one).unionByName(two)
+
+
+@_register("parent_documents", "SELECT DISTINCT n_regionkey || '.' || n_nationkey AS uid FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' AND c_acctbal IS NOT NULL")
+def _parents(spark, sf_dir):
+    docs = _families(spark, sf_dir)
+    return logics.parents_of_hits(docs, query(docs, "segment == 'machinery'"), "uid").select("uid")
+
+
+@_register("descendant_counts", "SELECT n_regionkey || '.' || n_nationkey AS uid, count(c_custkey) AS \"CHILD_COUNT\", count(c_custkey) AS \"DESCENDANT_COUNT\" FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def _descendants(spark, sf_dir):
+    return logics.with_descendant_counts(_families(spark, sf_dir), "uid").where("kind = 'nation'").select("uid", "CHILD_COUNT", "DESCENDANT_COUNT")
+
+
+@_register("ancestor_documents", "SELECT DISTINCT n_regionkey::VARCHAR AS uid FROM nation WHERE n_nationkey IN (3, 4) UNION SELECT n_regionkey || '.' || n_nationkey FROM nation WHERE n_nationkey IN (3, 4)")
+def _ancestors(spark, sf_dir):
+    docs = _families(spark, sf_dir)
+    return logics.ancestors_of_hits(docs, docs.where("kind = 'nation' AND split_part(uid, '.', 2) IN ('3', '4')"), "uid").select("uid")
+
+
+# Index lookups and side tables.
+def _event_index(spark, sf_dir) -> DataFrame:
+    return tables.term_index(tables.long_view(_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"]), most_ids=1_000_000)
+
+
+@_register("index_intersection", "SELECT p_partkey AS key FROM part WHERE p_name = 'red widget' AND p_type = 'ECONOMY'")
+def _intersection(spark, sf_dir):
+    terms = _event_index(spark, sf_dir)
+    return index.intersect_keys([index.literal_lookup(terms, "red widget", ["p_name"]), index.literal_lookup(terms, "ECONOMY", ["p_type"])])
+
+
+@_register("index_union", "SELECT p_partkey AS key FROM part WHERE p_name LIKE 'blue%' OR p_brand = 'Brand#4'")
+def _union(spark, sf_dir):
+    terms = _event_index(spark, sf_dir)
+    return index.union_keys([index.regex_lookup(terms, "blue.*", ["p_name"]), index.literal_lookup(terms, "brand#4")])
+
+
+@_register("index_range", "SELECT p_partkey AS key FROM part WHERE lower(p_brand) >= 'brand#2' AND lower(p_brand) < 'brand#3' AND NOT p_type = 'SMALL'")
+def _index_range(spark, sf_dir):
+    terms = _event_index(spark, sf_dir)
+    return index.without_keys(index.union_keys([index.range_lookup(terms, "p_brand", "brand#2", "brand#3", open_high=True)]), index.literal_lookup(terms, "small", ["p_type"]))
+
+
+@_register("field_names_of_term", "SELECT 'p_type' AS field")
+def _field_names(spark, sf_dir):
+    return index.field_names(_event_index(spark, sf_dir), "ECONOMY")
+
+
+@_register("first_and_last_seen", "SELECT 'event_type' AS field, event_type AS term, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last, count(*) AS count FROM events GROUP BY event_type")
+def _seen(spark, sf_dir):
+    long = tables.long_view(_table(spark, sf_dir, "events"), "event_id", ["event_type"], "ts")
+    return index.first_and_last_seen(tables.discovery(long, ".*")).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
+
+
+@_register("day_index", "SELECT 'o_orderstatus' AS field, o_orderstatus AS value, year(o_orderdate) AS year, array_to_string(list_sort(list(DISTINCT dayofyear(o_orderdate))), ',') AS days FROM orders GROUP BY o_orderstatus, year(o_orderdate)")
+def _day_index(spark, sf_dir):
+    return index.day_index(tables.long_view(_table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus"], "o_orderdate")).withColumn("days", F.array_join(F.col("days").cast("array<string>"), ","))
+
+
+@_register("year_index", "SELECT 'o_orderpriority' AS field, o_orderpriority AS value, array_to_string(list_sort(list(DISTINCT year(o_orderdate))), ',') AS years FROM orders GROUP BY o_orderpriority")
+def _year_index(spark, sf_dir):
+    return index.year_index(tables.long_view(_table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderpriority"], "o_orderdate")).withColumn("years", F.array_join(F.col("years").cast("array<string>"), ","))
+
+
+@_register("date_index", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-31'")
+def _date_index(spark, sf_dir):
+    both = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    table = index.date_index(both, "l_shipdate", "o_orderdate", "SHIPPED")
+    return index.by_other_date(both, table, "SHIPPED", "l_shipdate", "o_orderdate", "1997-03-01", "1997-03-31").select("l_orderkey", "l_linenumber")
+
+
+@_register("term_frequency_query", f"SELECT doc_id AS key, 'text' AS field, 'the' AS term, array_to_string(list_filter(range(len(w)), lambda i: w[i + 1] = 'the'), ',') AS offsets FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE list_contains(w, 'the')")
+def _frequencies(spark, sf_dir):
+    return logics.term_frequencies(_table(spark, sf_dir, "documents"), "doc_id", "text").where("term = 'the'").withColumn("offsets", F.array_join(F.col("offsets").cast("array<string>"), ","))
+
+
+@_register("edge_definitions", "SELECT c_name AS source, o_orderpriority AS sink, 'ordered' AS type, 'customer-priority' AS relation, strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000 GROUP BY ALL UNION ALL SELECT c_name, c_mktsegment, 'belongs', '-', strftime(o_orderdate, '%Y-%m-%d'), count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def _edge_definitions(spark, sf_dir):
+    both = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    found = ingest.defined_edges(both, [ingest.Edge("c_name", "o_orderpriority", "ordered", "customer-priority", "o_totalprice > 300000"), ingest.Edge("c_name", "c_mktsegment", "belongs")], "o_orderdate")
+    return found.drop("hours").withColumn("date", F.col("date").cast("string"))
+
+
+@_register("edge_statistics", "SELECT user_id::VARCHAR AS vertex, 'did' AS type, strftime(ts, '%Y-%m-%d') AS date, count(DISTINCT event_type) AS links, count(*) AS count FROM events GROUP BY ALL UNION ALL SELECT event_type, 'did', strftime(ts, '%Y-%m-%d'), count(DISTINCT user_id), count(*) FROM events GROUP BY ALL")
+def _edge_statistics(spark, sf_dir):
+    table = tables.edges(_table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_type"), F.lit("did"), F.col("ts"))
+    return ingest.edge_statistics(table).withColumn("date", F.col("date").cast("string"))
+
+
+@_register("normalised_fields", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'machinery'")
+def _normalised(spark, sf_dir):
+    return query(ingest.normalised(_table(spark, sf_dir, "customer"), ["c_mktsegment"]), "c_mktsegment == 'Machinery'").select("c_custkey")
+
+
+@_register("virtual_field", "SELECT p_partkey, p_brand || ' ' || p_type AS brand_type FROM part WHERE p_brand || ' ' || p_type = 'Brand#4 SMALL'")
+def _virtual(spark, sf_dir):
+    return query(ingest.virtual_field(_table(spark, sf_dir, "part"), "brand_type", ["p_brand", "p_type"]), "brand_type == 'brand#4 small'").select("p_partkey", "brand_type")
+
+
+@_register("visible_rows", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_custkey % 2 = 0)")
+def _visible(spark, sf_dir):
+    label = F.when(F.col("o_orderstatus") == "F", "A|B").when(F.col("o_orderstatus") == "O", F.when(F.col("o_custkey") % 2 == 0, "A&(C|D)").otherwise("A&B")).otherwise("(B")
+    return ingest.visible(_table(spark, sf_dir, "orders").withColumn("label", label), "label", {"A", "C"}).select("o_orderkey")
+
+
+@_register("geometry_within", "SELECT c_custkey FROM customer WHERE c_custkey % 40 > 5 AND c_custkey % 40 < 20 AND c_custkey // 40 > 3 AND c_custkey // 40 < 30")
+def _within(spark, sf_dir):
+    points = _table(spark, sf_dir, "customer").withColumn("place", F.concat(F.lit("POINT("), F.col("c_custkey") % 40, F.lit(" "), F.floor(F.col("c_custkey") / 40), F.lit(")")))
+    return query(points, "geowave:within(place, 'POLYGON((5 3, 20 3, 20 30, 5 30, 5 3))')").select("c_custkey")
+
+
+@_register("geo_circle", "SELECT c_custkey FROM customer WHERE pow(c_custkey % 40 - 10, 2) + pow(c_custkey // 40 - 10, 2) <= 25")
+def _circle(spark, sf_dir):
+    points = _table(spark, sf_dir, "customer").withColumn("place", F.concat_ws("_", F.floor(F.col("c_custkey") / 40), F.col("c_custkey") % 40))
+    return query(points, "geo:within_circle(place, '10_10', 5)").select("c_custkey")
+
+
+@_register("json_grouped", "SELECT o_orderkey, 'order_0.line_' || i AS group, v.q::VARCHAR AS value FROM (SELECT l_orderkey AS o_orderkey, unnest(list(struct_pack(q := l_linenumber) ORDER BY l_linenumber)) AS v, unnest(range(count(*))) AS i FROM lineitem GROUP BY l_orderkey)")
+def _json_grouped(spark, sf_dir):
+    nested = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.struct(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("q")))).alias("line")).alias("order"))
+    flat = flatten_json(nested.select(F.col("l_orderkey").alias("o_orderkey"), "order"), "grouped_and_normal")
+    return flat.select(F.col("o_orderkey"), F.explode("Q").alias("x")).select("o_orderkey", "x.group", "x.value")
+
+
+# Combiners and age-off.
+@_register("daily_summary", "SELECT strftime(ts, '%Y-%m-%d') AS date, event_type, count(value) AS count, min(value) AS least, max(value) AS greatest FROM events GROUP BY ALL")
+def _daily(spark, sf_dir):
+    return combine.daily_summary(_table(spark, sf_dir, "events"), "ts", ["event_type"], "value").select(F.col("date").cast("string").alias("date"), "event_type", "count", "least", "greatest")
+
+
+@_register("combined_extremes", "SELECT l_returnflag, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity FROM lineitem GROUP BY ALL")
+def _extremes(spark, sf_dir):
+    return combine.extremes(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity"])
+
+
+@_register("united_bits", "SELECT l_orderkey, bit_or(1 << l_linenumber)::BIGINT AS bits FROM lineitem GROUP BY ALL")
+def _bits(spark, sf_dir):
+    return combine.united_bits(_table(spark, sf_dir, "lineitem").withColumn("bits", F.expr("shiftleft(1L, int(l_linenumber))")), ["l_orderkey"], "bits")
+
+
+@_register("summed_counters", "SELECT o_orderstatus, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY ALL")
+def _counters(spark, sf_dir):
+    maps = _table(spark, sf_dir, "orders").withColumn("m", F.create_map("o_orderpriority", F.lit(1)))
+    return combine.summed_maps(maps, ["o_orderstatus"], "m").select("o_orderstatus", F.explode("m").alias("name", "n"))
+
+
+@_register("age_off_rules", "SELECT o_orderkey FROM orders WHERE epoch(TIMESTAMP '1998-12-01' - o_orderdate) < 86400 * CASE WHEN o_orderpriority LIKE '1-%' THEN 365 WHEN o_orderstatus = 'F' THEN 1000 ELSE 500 END")
+def _age_off_rules(spark, sf_dir):
+    rules = [*combine.prefix_rules("o_orderpriority", {"1-": "365d"}), *combine.token_rules("o_orderstatus", {"F": "24000h"})]
+    return combine.alive(_table(spark, sf_dir, "orders"), "o_orderdate", "1998-12-01", rules, combine.Ttl.parse("500 d")).select("o_orderkey")

@@ -505,8 +505,8 @@ def query(documents: DataFrame, text: str, syntax: str = "jexl", model: Model |
             limits |= Parameters({"limit.fields": ",".join(map(str, args))}).limits()
     if limits:
         out = shaping.limit_fields(out, limits, compiler.hits, asked.matching_sets())
-    out = shaping.apply(out, compiler.options + asked.options())
-    out = asked.after(out, documents)
+    out = asked.added(out, documents)
+    out = asked.after(shaping.apply(out, compiler.options + asked.options()))
     if fields:
         out = out.select(*fields)
     most = min((n for n in (max_results, asked.max_results()) if n is not None), default=None)

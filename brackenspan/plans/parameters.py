@@ -104,13 +104,17 @@ class Parameters:
                 out.append((option, found))
         return out
 
-    def after(self, df: DataFrame, documents: DataFrame) -> DataFrame:
-        """Projection and the columns that parameters add or take away."""
+    def added(self, df: DataFrame, documents: DataFrame) -> DataFrame:
+        """Columns that parameters add, by the fields' own names."""
         if self.flag("include.datatype.as.field") and "EVENT_DATATYPE" not in df.columns:
             df = df.withColumn("EVENT_DATATYPE", F.col(self.given.get("datatype.field", "DATATYPE")))
         if self.flag("include.record.id") and "RECORD_ID" not in df.columns:
             key = self.given.get("record.id") or documents.columns[0]
             df = df.withColumn("RECORD_ID", F.col(key).cast("string"))
+        return df
+
+    def after(self, df: DataFrame) -> DataFrame:
+        """Projection, and what parameters take away."""
         if self.flag("filter.masked.values"):
             for name in self.list_of("masked.fields"):
                 # The masked form stands beside the value; who may not see the value gets that.
