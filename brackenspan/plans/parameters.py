@@ -16,7 +16,7 @@ KNOWN = {
     "matching.field.sets": "text", "group.fields": "list", "sum.fields": "list", "max.fields": "list", "min.fields": "list", "count.fields": "list", "average.fields": "list",
     "unique.fields": "text", "most.recent.unique": "text", "no.expansion.fields": "list", "lenient.fields": "list", "strict.fields": "list", "hit.list": "flag",
     "excerpt.fields": "list", "summary.options": "list", "raw.data.only": "flag", "ignore.non.existent.fields": "flag", "max.results": "number",
-    "date.field": "text", "begin.date": "text", "end.date": "text", "raw.types": "flag", "record.id": "text", "unevaluated.fields": "list",
+    "date.field": "text", "begin.date": "text", "end.date": "text", "raw.types": "flag", "record.id": "text",
     "filter.masked.values": "flag", "masked.fields": "list",
 }
 #: Columns that only carry an index or a normal form.
