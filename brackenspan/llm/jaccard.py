@@ -573,4 +573,23 @@ def op5_part_enum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_part_enum_join": op5_part_enum_join}
-ORACLES: dict[str, str] = {}
+#: All pairs that share a shingle, and the closure of those that are similar.
+ORACLES = {
+    "op5_part_enum_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), members AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+    SELECT doc_id AS x, doc_id AS y FROM sets
+    UNION
+    SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, min(r.y)) AS component_id FROM sets s JOIN reached r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
+"""
+}
