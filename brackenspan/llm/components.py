@@ -23,6 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end meets one edge only, which makes the smaller one its component's least node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("larger")).union(edges.select("b", F.lit(1)))
+    met = ends.groupBy("node").agg(F.max("larger").alias("larger"), F.count("*").alias("n"))
+    return met.where("larger = 1 AND n > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's least node) of every node of ``links`` (a, b) but the least ones.
 
@@ -30,11 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = stored(edges, "links")
-    before = None
-    while True:
+    while not _are_stars(edges):
         last, edges = edges, stored(_small_star(_large_star(edges)), "stars")
         released(last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-        before = now
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))

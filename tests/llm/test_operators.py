@@ -251,6 +251,13 @@ def test_components(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 99), (7, 7), (200, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {100: 99, 200: 99}
+    for rows, expected in (
+        ([], {}),
+        ([(1, 2), (1, 3), (2, 1)], {2: 1, 3: 1}),
+        ([(3, 1), (3, 2)], {2: 1, 3: 1}),
+        ([(1, 2), (2, 3), (3, 1), (None, 4)], {2: 1, 3: 1}),
+    ):
+        assert {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()} == expected
 
 
 def test_targets():
