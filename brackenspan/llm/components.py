@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by contraction: least neighbours make trees, trees become nodes."""
 
 from __future__ import annotations
 
@@ -8,36 +8,45 @@ from pyspark.sql import functions as F
 from brackenspan.llm.common import released, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to its least neighbour."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+def _renamed(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with the nodes of ``column`` replaced by their labels, where they have one."""
+    named = labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("_label", column)).drop("_label")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours move to the least of them."""
-    down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
+def _edges(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The distinct links between the components so far, smaller node first."""
+    if labels is not None:
+        links = _renamed(_renamed(links, "a", labels), "b", labels)
+    return stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each larger end meets one edge only, which makes the smaller one its component's least node."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("larger")).union(edges.select("b", F.lit(1)))
-    met = ends.groupBy("node").agg(F.max("larger").alias("larger"), F.count("*").alias("n"))
-    return met.where("larger = 1 AND n > 1").agg(F.count("*")).first()[0] == 0
+def _trees(edges: DataFrame) -> DataFrame:
+    """node, label (its tree's root) where each node hangs on its least smaller neighbour; roots have no row.
+
+    Each pass looks up the label's own label, so a path halves.
+    """
+    trees = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "trees")
+    while True:
+        above = trees.select(F.col("node").alias("label"), F.col("label").alias("_above"))
+        last, trees = trees, stored(trees.select("node", "label").join(above, "label", "left").select("node", F.coalesce("_above", "label").alias("label"), F.col("_above").isNotNull().alias("moved")), "trees")
+        released(last)
+        if not trees.where("moved").head(1):
+            return trees.select("node", "label")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label (the component's least node) of every node of ``links`` (a, b) but the least ones.
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, label (the component's least node) of every node but the least ones.
 
-    Links may repeat, run either way or from a node to itself; nulls link nothing. No links, no rows.
+    The nodes are those of ``links`` (a, b) and of ``known``, the components that other links make; only links
+    between known components cost work. Links may repeat, run either way or from a node to itself; nulls link
+    nothing. No links, no rows. A root that is not its component's least node either took in all its neighbours or
+    has a smaller one in the next round, so rounds grow with the logarithm of the nodes.
     """
-    edges = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = stored(edges, "links")
-    while not _are_stars(edges):
-        last, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+    edges, labels = _edges(links, known), known
+    while edges.head(1):
+        trees = _trees(edges)
+        labels = trees if labels is None else stored(_renamed(labels, "label", trees).select("node", "label").union(trees), "labels")
+        last, edges = edges, _edges(edges, trees)
         released(last)
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("label")) if labels is None else labels

@@ -446,6 +446,8 @@ def _similar(batches, percent: int):
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    if not pairs.head(1):
+        return pairs
     wanted = stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "first"), "class"), "jaccard-wanted")
     # A row of a class's least id lends its text. Ids may be null or repeat with other texts, so each text tells its
     # class by content; a side of this checked size needn't shuffle the texts.
@@ -499,8 +501,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     raw = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     pairs = stored(raw.join(facts("a"), "a").join(facts("b"), "b").mapInArrow(partial(_filtered, percent=percent), "a bigint, b bigint, shared bigint"), "jaccard-possible")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(best, texts, classes, width, percent)
-    labels = stored(components(links), "jaccard-labels")
+    labels = components(_verified(best, texts, classes, width, percent))
 
     members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class"), "shared", "role", "size").repartition("class")
     members = members.groupBy("class", "role", "group", "size").agg(F.sum("shared").alias("shared")).join(classes.select("class", "least0", "least1"), "class")
@@ -519,16 +520,14 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         if largest < least:
             continue
         likely = stored(possible(_crossed(members, labels, classes, percent, True, own_blocks, least)).join(tried, ["a", "b"], "left_anti"), "jaccard-likely")
-        links = links.union(_verified(likely, texts, classes, width, percent))
+        labels = components(_verified(likely, texts, classes, width, percent), labels)
         tried = tried.union(likely)
-        labels = stored(components(links), "jaccard-labels")
 
     # What is still apart: other partners of a least class, and other members of a signature's group.
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("l" + side))
     apart = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
     more = apart.union(possible(_crossed(members, labels, classes, percent, False, False, 2))).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(more, texts, classes, width, percent))
-    labels = components(links)
+    labels = components(_verified(more, texts, classes, width, percent), labels)
 
     joined = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     joined = stored(joined, "jaccard-joined")

@@ -260,6 +260,22 @@ def test_components(spark):
         assert {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()} == expected
 
 
+def test_components_in_steps(spark):
+    rng = np.random.default_rng(7)
+    stars = [(int(hub), int(leaf)) for hub, leaf in zip(rng.integers(900, 910, 150), rng.permutation(900)[:150], strict=True)]
+    steps = [[(int(a), int(b)) for a, b in rng.integers(0, 900, (260, 2))], stars, []]
+    label = {k: k for k in range(910)}
+    known = None
+    for rows in steps:
+        for a, b in rows:
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+        known = components(spark.createDataFrame(rows, "a long, b long"), known)
+        got = known.collect()
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.label for r in got} == {k: v for k, v in label.items() if v != k}
+
+
 def test_targets():
     assert [round(t, 6) for _, _, t in mixing.source_targets([("a", 10), (None, 50), ("b", 40)])] == [30.0, 46.666667, 23.333333]
     assert mixing.source_targets([("a", 0)]) == [("a", 0, 0.0)]
