@@ -28,7 +28,10 @@ class Not:
 
 @dataclass(frozen=True)
 class Compare:
-    """``name`` is a field, or a call or method whose result is compared; ``value`` may be a Name or a tuple of values."""
+    """``name`` is a field, or a call or method whose result is compared; ``value`` may be a Name or a tuple of values.
+
+    Where either is an Arith the other may be one too, a Name or a number.
+    """
 
     name: object
     op: str
@@ -58,6 +61,18 @@ class Name:
     name: str
 
 
+@dataclass(frozen=True)
+class Arith:
+    """A sum, difference, product, quotient or remainder; sides are numbers, Names or further ones."""
+
+    op: str
+    left: object
+    right: object
+
+    def names(self) -> set[str]:
+        return {n for side in (self.left, self.right) for n in ({side.name} if isinstance(side, Name) else side.names() if isinstance(side, Arith) else ())}
+
+
 @dataclass(frozen=True)
 class Constant:
     value: bool

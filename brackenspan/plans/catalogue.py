@@ -52,6 +52,8 @@ _search("filter_at_least", "lineitem", "filter:matchesAtLeastCountOf(1, l_return
 _search("text_length", "part", "f:length(p_name, 8, 9)", ["p_partkey"], "SELECT p_partkey FROM part WHERE length(p_name) BETWEEN 8 AND 9")
 _search("include_text", "nation", "f:includeText(n_name, 'NATION_7') || f:includeText(n_name, 'nation_8')", ["n_nationkey"], "SELECT n_nationkey FROM nation WHERE n_name IN ('NATION_7', 'nation_8')")
 _search("number_between", "lineitem", "f:between(l_quantity, 10, 12)", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
+_search("arithmetic_product", "lineitem", "l_extendedprice * (1 - l_discount) / l_quantity > 1500 + 100 * l_linenumber", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) > 1500.0 + 100.0 * l_linenumber")
+_search("arithmetic_remainder", "lineitem", "l_linenumber % 3 == 2 && !(l_quantity -5 * l_linenumber >= 0)", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 = 2 AND NOT coalesce(l_quantity - 5 * l_linenumber >= 0, false)")
 _WORDS = "list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _search("content_phrase", "documents", 'text:"of the"', ["doc_id"], f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' of the ')", "lucene")
 

@@ -18,7 +18,7 @@ from brackenspan.functions import content, geo, geometry
 from brackenspan.functions.types import NORMAL, date, date_of, fold, fold_text, in_cidr, is_time, literal_date, time_literal, unit_end
 from brackenspan.operators import shaping
 from brackenspan.plans import jexl, lucene
-from brackenspan.plans.ast import ANY_FIELD, And, Call, Compare, Constant, Method, Name, Not, Or, QuerySyntaxError
+from brackenspan.plans.ast import ANY_FIELD, And, Arith, Call, Compare, Constant, Method, Name, Not, Or, QuerySyntaxError
 from brackenspan.plans.parameters import Parameters
 
 #: Ending of the column that holds a field's normal form.
@@ -38,6 +38,7 @@ class Model:
 
 _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
 _OPTIONS = re.compile(r"^(rename|noExpansion|options|lenient|strict|limit_fields|excerpt_fields|summary|(most_recent_)?unique(_by_\w+)?|groupby(_\w+)?|sum|min|max|count|average)$")
+_ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide, "%": F.try_mod}
 #: Arguments that carry no search term.
 _OFFSETS = {"termOffsetMap", "TERM_OFFSET_MAP"}
 
@@ -206,7 +207,34 @@ class Compiler:
             return self.method(node)
         return self.call(node)
 
+    def arithmetic(self, node: Compare) -> Column:
+        """Whether some values of the fields, one of each, compare so, in doubles; what isn't a number or divides by zero doesn't."""
+        sides = (node.name, node.value)
+        names = sorted(set().union(*({s.name} if isinstance(s, Name) else s.names() if isinstance(s, Arith) else () for s in sides)))
+
+        def result(part, at: dict[str, Column]) -> Column:
+            if isinstance(part, Name):
+                return at[part.name]
+            return _ARITHMETIC[part.op](result(part.left, at), result(part.right, at)) if isinstance(part, Arith) else F.lit(float(part))
+
+        def chosen(k: int, at: dict[str, Column]) -> Column:
+            if k == len(names):
+                return _OPS[node.op](*(result(s, at) for s in sides))
+            return self.join([with_value(k, at, n) for n in self.fields(names[k])], lambda a, b: a | b, False)
+
+        def with_value(k: int, at: dict[str, Column], n: str) -> Column:
+            def go(v: Column) -> Column:
+                v = v["value"] if self.grouped(n) else v
+                v = v if isinstance(self.element(n), T.NumericType) else NORMAL["number"](v.cast("string"))
+                return chosen(k + 1, at | {names[k]: v.cast("double")})
+
+            return F.exists(n, go) if isinstance(self.schema[n].dataType, T.ArrayType) else go(F.col(n))
+
+        return chosen(0, {})
+
     def compare(self, node: Compare) -> Column | None:
+        if isinstance(node.name, Arith) or isinstance(node.value, Arith):
+            return self.unless(lambda: self.arithmetic(Compare(node.name, "==", node.value))) if node.op == "!=" else self.arithmetic(node)
         if isinstance(node.name, (Call, Method)):
             return self.value_compare(node)
         if node.value is None:

@@ -158,3 +158,18 @@ def test_streams(spark, tmp_path):
         run.stop()
     assert spark.table("hits").count() == source.where("event_type = 'click'").count()
     assert spark.table("rates").agg(F.sum("events")).first()[0] == source.count()
+
+
+def test_arithmetic(spark):
+    rows = [(1, [1.0, 7.0], 3, "4"), (2, [2.0], 0, "x"), (3, None, 5, "1"), (4, [10.0, 3.0], None, "2")]
+    df = spark.createDataFrame(rows, "id long, many array<double>, n int, word string")
+    found = lambda text: sorted(r.id for r in query(df, text).select("id").collect())
+    assert found("many + n >= 10") == [1]
+    assert found("many / n < 1") == [1]
+    assert found("many / n == 1 / 0") == []
+    assert found("n % 2 == 1") == [1, 3]
+    assert found("n != 2 + 1") == [2, 3, 4]
+    assert found("!(n + 1 > 3)") == [2, 4]
+    assert found("word * n == 12") == [1]
+    assert found("many > many * 2 - 2") == [1]
+    assert found("nowhere + 1 > 0") == []
