@@ -34,21 +34,26 @@ def scored_phrase(c: Column, terms: list[str], scores: Column | None, least: flo
 
 
 def within(c: Column, terms: list[str], distance: int) -> Column:
-    """Each term at a position of its own, the furthest two at most ``distance`` apart, in any order."""
-    found = words(c)
+    """Each term at a position of its own, the furthest two at most ``distance`` apart, in any order.
+
+    One pass over the terms' own places: at each, the last places of every term, as many as it is wanted, are the
+    narrowest window that ends there. Texts without all the terms have no words cut.
+    """
     wanted = [fold_text(t) for t in terms]
-    need = {t: wanted.count(t) for t in set(wanted)}
-    window = lambda i: F.slice(found, i + 1, F.lit(distance + 1))
-    places = lambda i, t: F.size(F.filter(window(i), lambda w: w == F.lit(t)))
-    enough = lambda i: [places(i, t) >= F.lit(n) for t, n in need.items()]
-
-    def hit(i: Column) -> Column:
-        out = F.lit(True)
-        for e in enough(i):
-            out = out & e
-        return out
-
-    return F.when(F.size(found) > 0, F.exists(F.sequence(F.lit(0), F.size(found) - 1), hit)).otherwise(F.lit(False))
+    need = {t: wanted.count(t) for t in wanted}
+    place = lambda w, i: F.when(w.isin(*need), F.struct(i.cast("bigint").alias("at"), w.alias("word")))
+    found = F.filter(F.transform(words(c), place), lambda x: x.isNotNull())
+    unseen = [F.array_repeat(F.lit(-(2**62)), n).alias(f"t{k}") for k, n in enumerate(need.values())]
+
+    def step(last: Column, x: Column) -> Column:
+        now = [F.when(x.word == t, F.slice(F.concat(F.array(x.at), last[f"t{k}"]), 1, n)).otherwise(last[f"t{k}"]) for k, (t, n) in enumerate(need.items())]
+        first = F.array_min(F.array(*(F.element_at(p, n) for p, n in zip(now, need.values(), strict=True))))
+        return F.struct((last.hit | (first >= x.at - F.lit(distance))).alias("hit"), *(p.alias(f"t{k}") for k, p in enumerate(now)))
+
+    has_all, low = F.lit(True), fold(c)
+    for t in need:
+        has_all = has_all & low.contains(t)
+    return F.when(has_all, F.aggregate(found, F.struct(F.lit(False).alias("hit"), *unseen), step, lambda last: last.hit)).otherwise(F.lit(False))
 
 
 def excerpt(c: Column, term: str, around: int) -> Column:
